@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import decontaminate, mixing, url_filter
+from tracemill.llm import decontaminate, mixing, toxicity, url_filter
 from tracemill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,12 +21,16 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix, op3_urls, op9_decontaminate)}
+    return {f.__name__: f for f in (op1_mix, op3_urls, op6_toxicity, op9_decontaminate)}
 
 
 OP9_SQL = """
