@@ -173,7 +173,7 @@ def _fit_passages(words_of, feats, starts, passages, targets, weight, bits, dim,
 
 def train(
     texts: list[bytes], toxic: list[int], *, bits: int = 16, dim: int = 6, width: int = 3, rounds: int = 3,
-    max_passages: int = 120, seed: int = 11,
+    max_passages: int = 40, seed: int = 11,
 ) -> Model:
     """Fit on labelled texts.  A text gives at most ``max_passages`` passages, chosen
     at random, to the clean side; all of a toxic text's passages are considered."""
