@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import decontaminate, mixing, pii, toxicity, url_filter
+from tracemill.llm import decontaminate, fingerprint, mixing, pii, toxicity, url_filter
 from tracemill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,12 +29,16 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.report(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix, op3_urls, op6_toxicity, op7_pii, op9_decontaminate)}
+    return {f.__name__: f for f in (op1_mix, op3_urls, op6_toxicity, op7_pii, op8_fingerprint, op9_decontaminate)}
 
 
 OP9_SQL = """
