@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import decontaminate, fingerprint, mixing, pii, toxicity, url_filter
+from tracemill.llm import class_lm, decontaminate, fingerprint, mixing, pii, toxicity, url_filter
 from tracemill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.report(table(spark, sf_dir, "documents"))
+
+
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -38,7 +42,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix, op3_urls, op6_toxicity, op7_pii, op8_fingerprint, op9_decontaminate)}
+    return {f.__name__: f for f in (op1_mix, op2_class_lm, op3_urls, op6_toxicity, op7_pii, op8_fingerprint, op9_decontaminate)}
 
 
 OP9_SQL = """
