@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import class_lm, decontaminate, fingerprint, mixing, pii, toxicity, url_filter
+from tracemill.llm import class_lm, decontaminate, fingerprint, jaccard_join, mixing, pii, toxicity, url_filter
 from tracemill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,8 +41,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix, op2_class_lm, op3_urls, op6_toxicity, op7_pii, op8_fingerprint, op9_decontaminate)}
+    return {f.__name__: f for f in (op1_mix, op2_class_lm, op3_urls, op6_toxicity, op7_pii, op8_fingerprint, op9_decontaminate, op10_jaccard)}
 
 
 OP9_SQL = """
