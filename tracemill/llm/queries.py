@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import class_lm, decontaminate, fingerprint, jaccard_join, mixing, pii, toxicity, url_filter
+from tracemill.llm import chat, class_lm, decontaminate, fingerprint, html_text, jaccard_join, mixing, pii, toxicity, url_filter
 from tracemill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,14 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(table(spark, sf_dir, "conversations"))
+
+
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,7 +54,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix, op2_class_lm, op3_urls, op6_toxicity, op7_pii, op8_fingerprint, op9_decontaminate, op10_jaccard)}
+    return {f.__name__: f for f in (op1_mix, op2_class_lm, op3_urls, op4_chat, op5_html, op6_toxicity, op7_pii, op8_fingerprint, op9_decontaminate, op10_jaccard)}
 
 
 OP9_SQL = """
@@ -69,4 +77,4 @@ FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN its ON d.doc_id = its.do
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_urls": url_filter.oracle(), "op9_decontaminate": OP9_SQL}
+    return {"op3_urls": url_filter.oracle(), "op4_chat": chat.SQL, "op9_decontaminate": OP9_SQL}
