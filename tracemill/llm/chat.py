@@ -90,21 +90,22 @@ def _ordered(calls: DataFrame, max_depth: int) -> DataFrame:
     if late.isEmpty():
         return out
     needs = materialize(needs, "needs")
-    state = materialize(out.select("conv_id", "call_id", "seq", "ready", "wait"), "order")
-    for _ in range(max_depth):
+    state = materialize(out.select("conv_id", "call_id", "seq", "ready", "wait", F.lit(0).alias("moved")), "order")
+    settled = False
+    for turn in range(1, 2 * max_depth + 1):
         of = state.select("conv_id", F.col("call_id").alias("_dep"), F.struct(F.col("ready"), (F.col("wait") + 1).alias("wait")).alias("_at"))
         most = needs.join(of, ["conv_id", "_dep"]).groupBy("conv_id", "call_id").agg(F.max("_at").alias("_most"))
         new = state.join(most, ["conv_id", "call_id"], "left")
         at = F.greatest(F.struct(F.col("seq").alias("ready"), F.lit(0).alias("wait")), F.col("_most"))
         new = new.withColumn("_new", at).withColumn("_moved", (F.col("_new.ready") != F.col("ready")) | (F.col("_new.wait") != F.col("wait")))
-        new = materialize(new.select("conv_id", "call_id", "seq", F.col("_new.ready").alias("ready"), F.col("_new.wait").alias("wait"), "_moved"), "order")
-        state = new
-        if new.filter("_moved").isEmpty():
+        new = new.select("conv_id", "call_id", "seq", F.col("_new.ready").alias("ready"), F.col("_new.wait").alias("wait"), F.when(F.col("_moved"), turn).otherwise(F.col("moved")).alias("moved"))
+        state = materialize(new, "order")
+        if state.filter(F.col("moved") == turn).isEmpty():
+            settled = True
             break
-    if "_moved" not in state.columns:
-        state = state.withColumn("_moved", F.lit(False))
-    placed = state.select("conv_id", "call_id", "ready", "wait", (~F.col("_moved")).alias("ordered"))
-    return calls.join(placed, ["conv_id", "call_id"])
+    # what still moves in the second half waits for itself, or for a chain too long
+    ordered = F.lit(True) if settled else F.col("moved") <= max_depth
+    return calls.join(state.select("conv_id", "call_id", "ready", "wait", ordered.alias("ordered")), ["conv_id", "call_id"])
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping], max_depth: int = 64) -> DataFrame:

@@ -29,6 +29,7 @@ RAW = frozenset("script style textarea title noscript iframe noembed noframes xm
 HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas svg math datalist".split())
 BLOCK = frozenset("address article aside body center dd details dialog div dl dt fieldset figcaption figure footer form header hgroup html legend li main menu nav option optgroup search section select summary tbody td tfoot th thead tr".split())
 SPACED = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul xmp".split())
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 CLOSES_P = BLOCK - frozenset("option optgroup select td th tr tbody thead tfoot html body".split()) | SPACED
 
 #: A start tag of the key closes open elements of the first set, up to one of the second.
@@ -159,10 +160,20 @@ def _close(stack: list[Node], tag: str) -> None:
     if tag == "p" and not any(x.tag == "p" for x in stack):
         stack[-1].children.append(Node("p"))
         return
+    block = tag in BLOCK or tag in SPACED
+    crossed = False
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag == tag:
-            del stack[i:]
+            if crossed and not block:
+                # blocks opened inside a formatting element outlive it
+                del stack[i]
+            else:
+                del stack[i:]
             return
+        if stack[i].tag in BLOCK or stack[i].tag in SPACED:
+            if not block and tag not in FORMATTING:
+                return
+            crossed = True
         # a cell keeps what is closed inside it from closing what is around the table
         if stack[i].tag in ("td", "th", "caption") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "caption", "body", "html"):
             return
