@@ -8,16 +8,17 @@ words it resembles.
 
 A document is as toxic as its worst passage: labels are of documents, so training
 starts from all passages of labelled documents and then repeatedly keeps, of a
-toxic document, the passages that the model itself finds worst.  A logistic
-calibration maps the worst passage's margin to a score.
+toxic document, the passages that the model itself finds worst, and misspelt copies
+of these and of as many clean ones.  Half of a word's features are left out at each
+step, so that each learns to speak for it.  A logistic calibration maps the worst
+passage's margin to a score.
 
 The model is fitted on at most ``max_docs`` labelled documents a class, the first
 by hash of id, of at most ``max_chars`` characters each; every whole text is scored.
 What is broadcast is one margin a feature bucket, ``2**bits`` floats.
 
-Defined results: null and empty texts have no words and score the calibrated
-margin of an empty passage; without labels of both classes the score is the share
-of toxic ones among the labels read (0 if none).
+Defined results: null and empty texts have no passage and score 0; without labels of
+both classes the score is the share of toxic ones among the labels read (0 if none).
 """
 
 from __future__ import annotations
@@ -111,7 +112,7 @@ class Model:
     def worst(self, words: list[bytes]) -> float:
         """Largest passage margin; passages overlap by half."""
         if not words:
-            return self.bias
+            return -np.inf
         best = -np.inf
         step = 100_000
         for i in range(0, len(words), step):
@@ -130,9 +131,28 @@ class Model:
     def score(self, words: list[bytes]) -> float:
         if self.constant is not None:
             return self.constant
+        if not words:
+            return 0.0
         return float(1.0 / (1.0 + np.exp(-np.clip(self.scale * self.worst(words) + self.shift, -35, 35))))
 
 
+def misspell(word: bytes, rng: np.random.Generator) -> bytes:
+    """The word with one inner letter changed, doubled, dropped or swapped."""
+    w = word.decode(errors="replace")
+    if len(w) < 4:
+        return word
+    i, kind = int(rng.integers(1, len(w) - 1)), int(rng.integers(4))
+    if kind == 0:
+        w = w[:i] + chr(97 + int(rng.integers(26))) + w[i + 1 :]
+    elif kind == 1:
+        w = w[:i] + w[i] + w[i:]
+    elif kind == 2:
+        w = w[:i] + w[i + 1 :]
+    else:
+        w = w[:i] + w[i + 1] + w[i] + w[i + 2 :]
+    return w.encode()
+
+
 def _fit_passages(words_of, feats, starts, passages, targets, weight, bits, dim, epochs, rng, state):
     """Adagrad on the softmax over passages; each is an array of word indices."""
     vec, out, bias, g_vec, g_out, g_bias = state
@@ -150,8 +170,14 @@ def _fit_passages(words_of, feats, starts, passages, targets, weight, bits, dim,
             base = np.repeat(starts[w], n_feat)
             within = np.arange(len(base)) - np.repeat(np.cumsum(n_feat) - n_feat, n_feat)
             bucket = feats[base + within]
-            p_of_f = np.repeat(p_of_w, n_feat)
-            share = np.repeat(1.0 / (n_feat * n_words[p_of_w]), n_feat).astype(np.float32)
+            # half of a word's features are left out at random, so that each learns to
+            # speak for the word: a misspelling keeps only some of them
+            w_of_f = np.repeat(np.arange(len(w)), n_feat)
+            stay = rng.random(len(w_of_f)) < 0.5
+            bucket, w_of_f = bucket[stay], w_of_f[stay]
+            left = np.maximum(np.bincount(w_of_f, minlength=len(w)), 1)
+            p_of_f = p_of_w[w_of_f]
+            share = (1.0 / (left * n_words[p_of_w]))[w_of_f].astype(np.float32)
             hidden = np.stack([np.bincount(p_of_f, weights=vec[bucket, k] * share, minlength=len(rows)) for k in range(dim)], axis=1)
             logits = hidden @ out + bias
             prob = np.exp(logits - logits.max(axis=1, keepdims=True))
@@ -202,14 +228,13 @@ def train(
     init = rng.normal(0, 0.1, (1 << bits, dim)).astype(np.float32)
     start_out = rng.normal(0, 0.5, (dim, 2))
     keep = np.ones(len(passages), dtype=bool)
-    targets = truth.copy()
-    model = None
+    model, extra, extra_truth = None, [], np.empty(0, dtype=np.int64)
     for r in range(rounds):
         state = (init.copy(), start_out.copy(), np.zeros(2), np.zeros((1 << bits, dim), np.float32), np.zeros((dim, 2)), np.zeros(2))
         sel = np.flatnonzero(keep)
-        share = np.where(targets[sel] == 1, 0.5 / max(1, targets[sel].sum()), 0.5 / max(1, (targets[sel] == 0).sum())) * len(sel)
-        chosen = [passages[i] for i in sel]
-        vec, out, bias, *_ = _fit_passages(words, feats, starts, chosen, targets[sel], share, bits, dim, 2 if r < rounds - 1 else 3, rng, state)
+        chosen, goal = [passages[i] for i in sel] + extra, np.concatenate((truth[sel], extra_truth))
+        share = np.where(goal == 1, 0.5 / max(1, goal.sum()), 0.5 / max(1, (goal == 0).sum())) * len(goal)
+        vec, out, bias, *_ = _fit_passages(words, feats, starts, chosen, goal, share, bits, dim, 2 if r < rounds - 1 else 3, rng, state)
         model = Model(bits, width, (vec @ (out[:, 1] - out[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
         n_feat = np.diff(starts)
         s = np.bincount(np.repeat(np.arange(len(words)), n_feat), weights=model.margin[feats], minlength=len(words)) / np.maximum(n_feat, 1)
@@ -220,11 +245,29 @@ def train(
         bar = np.quantile(top[np.array(toxic, dtype=bool)], 0.25)
         worst = (margin >= top[owner]) | (margin >= bar)
         keep = (truth == 0) | worst
-        targets = truth
-    # calibration of the worst passage's margin, both classes weighing the same
-    x = np.array([model.worst(tokens(t)) for t in texts])
-    y = np.array([float(bool(t)) for t in toxic])
-    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+        # misspelt copies of the worst passages, and of as many clean ones
+        bad, fine = np.flatnonzero(worst & (truth == 1)), np.flatnonzero(truth == 0)
+        copied = np.concatenate((bad, rng.choice(fine, min(len(fine), len(bad)), replace=False)))
+        extra, made = [], []
+        for i in copied.tolist():
+            extra.append(np.arange(len(words) + len(made), len(words) + len(made) + len(passages[i])))
+            made += [misspell(words[j], rng) for j in passages[i].tolist()]
+        extra_truth = truth[copied]
+        more, of_more = features(made, bits)
+        feats = np.concatenate((feats, more[np.argsort(of_more, kind="stable")]))
+        starts = np.concatenate((starts, starts[-1] + np.cumsum(np.bincount(of_more, minlength=len(made)))))
+        words = words + made
+    # calibration of the worst passage's margin
+    # and of the misspelt worst passages, which are toxic too
+    n_feat = np.diff(starts)
+    s = np.bincount(np.repeat(np.arange(len(words)), n_feat), weights=model.margin[feats], minlength=len(words)) / np.maximum(n_feat, 1)
+    odd = np.array([s[p].mean() for p, t in zip(extra, extra_truth, strict=True) if t]) + model.bias
+    x = np.concatenate(([model.worst(tokens(t)) for t in texts], odd))
+    x = np.maximum(x, np.min(x[np.isfinite(x)]))  # texts without words are as clean as any
+    y = np.concatenate(([float(bool(t)) for t in toxic], np.ones(len(odd))))
+    # both classes weigh the same; misspelt copies are a fifth of the toxic side
+    part = np.concatenate((np.full(len(texts), 0.8 / n_toxic), np.full(len(odd), 0.2 / max(1, len(odd)))))
+    weight = np.where(y == 1, 0.5 * part, 0.5 / (1 - y).sum())
     mid = float(np.average(x, weights=weight))
     spread = float(np.sqrt(np.average((x - mid) ** 2, weights=weight))) or 1.0
     z = (x - mid) / spread
