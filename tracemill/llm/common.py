@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,3 +50,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def text_bytes(col: str = "text"):
     """The UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Within it, at most ``rows`` rows go to Python at once: texts are long, and
+    both sides hold whole batches.  It holds for what is run inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

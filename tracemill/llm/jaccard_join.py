@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import materialize, text_bytes
+from tracemill.llm.common import materialize, small_batches, text_bytes
 
 #: Cells of the count sketch, bits of the involved-document filter, hash ranges of the suffix filter.
 SKETCH_BITS, FILTER_BITS, RANGE_BITS = 19, 23, 6
@@ -247,12 +247,18 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
+def find(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     """(members, links): ``id, n, c, component_id`` of every row of ``docs``, and the
     verified pairs ``x, y`` of classes on which the components rest.
 
-    Sets link where ``den * intersection >= num * union``.
+    ``id_col, text_col, shingle, num, den``: sets link where
+    ``den * intersection >= num * union``.
     """
+    with small_batches(docs.sparkSession):
+        return _find(docs, **options)
+
+
+def _find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("_tm_bytes"))
     first = materialize(_sets(texts, shingle), "sets")
     members = first.filter("kind = 0")
@@ -266,10 +272,11 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shi
     prefix = materialize(prefix.join(common, "s"), "shared")
     verifier = _Verifier(texts, reps, shingle, num, den)
 
-    # each member against the pivot of its shingle and length band
+    # each member against the pivot of its shingle and length band: the member with the
+    # fewest rarer shingles of its own, which of edited copies is the least edited
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num))).cast("int") if num < den else F.col("n")
     banded = prefix.withColumn("band", band)
-    pivots = banded.groupBy("s", "band").agg(F.min(F.struct("n", "c", "pos")).alias("p"))
+    pivots = banded.groupBy("s", "band").agg(F.min(F.struct("pos", "n", "c")).alias("p"))
     star = banded.join(pivots, ["s", "band"]).filter(F.col("c") != F.col("p.c"))
     star = star.filter(_viable(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos"), num, den)).withColumn("pc", F.col("p.c"))
     tried = materialize(_pairs(star, "c", "pc"), "star-pairs")
