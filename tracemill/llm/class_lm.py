@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import materialize, text_bytes
+from tracemill.llm.common import materialize, small_batches, text_bytes
 
 #: Stands for the end of a text; it holds a separator, so it is no word.
 END = b"\n"
@@ -136,7 +136,8 @@ def exchange(bigrams: np.ndarray, n_classes: int, sweeps: int = 12) -> np.ndarra
             rest[a, :] -= out_w
             rest[:, a] -= in_w
             rest[a, a] -= self_pair
-            row, col = rest.sum(axis=1), rest.sum(axis=0)
+            # what a class has in all, whichever class the item joins
+            row, col = rest.sum(axis=1) + in_w, rest.sum(axis=0) + out_w
             # joining class b adds out_w to its row, in_w to its column, all to [b, b]
             gain = (_xlogx(rest + out_w) - _xlogx(rest)).sum(axis=1) + (_xlogx(rest + in_w[:, None]) - _xlogx(rest)).sum(axis=0)
             d = np.diagonal(rest)
@@ -284,6 +285,11 @@ def _score_locally(texts: DataFrame, model: Model) -> DataFrame:
 def report(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` and the
     model's ``perplexity`` of every document."""
+    with small_batches(docs.sparkSession):
+        return _report(docs, **options)
+
+
+def _report(docs: DataFrame, **options) -> DataFrame:
     texts = docs.select("doc_id", held_out().alias("held_out"), text_bytes().alias("_tm_bytes"))
     training = texts.filter(~F.col("held_out"))
     counts = materialize(count_words(training), "word-counts")
