@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import materialize, small_batches, text_bytes
+from tracemill.llm.common import batch_rows, materialize, schema_with, text_bytes
 
 #: Stands for the end of a text; it holds a separator, so it is no word.
 END = b"\n"
@@ -240,7 +240,6 @@ def _score_locally(texts: DataFrame, model: Model) -> DataFrame:
     """Of each text: token count, what the common words give, and its other words
     with their counts and what they score if they are unseen."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
-    keep = [f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name != "_tm_bytes"]
     names = [f.name for f in texts.schema if f.name != "_tm_bytes"]
 
     def run(batches):
@@ -279,13 +278,13 @@ def _score_locally(texts: DataFrame, model: Model) -> DataFrame:
                 [*names, "n_tokens", "_known", "_base", "_score", "_tail"],
             )
 
-    return texts.mapInArrow(run, ", ".join([*keep, "n_tokens long, _known long, _base double, _score double, _tail array<struct<w: binary, n: int, u: double>>"]))
+    return texts.mapInArrow(run, schema_with(texts, names, "n_tokens long, _known long, _base double, _score double, _tail array<struct<w: binary, n: int, u: double>>"))
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` and the
     model's ``perplexity`` of every document."""
-    with small_batches(docs.sparkSession):
+    with batch_rows(docs.sparkSession):
         return _report(docs, **options)
 
 

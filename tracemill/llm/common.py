@@ -5,10 +5,11 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Word separators of the contracts: space and the ASCII controls 09-0D.  These
 #: are exactly the bytes that ``bytes.split()`` splits on.
@@ -47,18 +48,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def schema_with(df: DataFrame, keep: Sequence[str], added: str) -> StructType:
+    """Schema of the columns ``keep`` of ``df`` and those of the DDL string ``added``."""
+    return StructType([*(df.schema[c] for c in keep), *StructType.fromDDL(added).fields])
+
+
 def text_bytes(col: str = "text"):
     """The UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
-    """Within it, at most ``rows`` rows go to Python at once: texts are long, and
-    both sides hold whole batches.  It holds for what is run inside."""
+def batch_rows(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Within it, ``rows`` rows go to Python at once: few where they hold texts, as both
+    sides keep whole batches, more where they are numbers.  It holds for what is run
+    inside, and for plans made inside."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    spark.conf.set(key, str(rows))
     try:
         yield
     finally:

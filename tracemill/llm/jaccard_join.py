@@ -27,6 +27,7 @@ member has one.  Shingles and sets are told apart by 64-bit hashes.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,10 +35,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import materialize, small_batches, text_bytes
+from tracemill.llm.common import batch_rows, materialize, text_bytes
 
-#: Cells of the count sketch, bits of the involved-document filter, hash ranges of the suffix filter.
-SKETCH_BITS, FILTER_BITS, RANGE_BITS = 19, 23, 6
+#: Cells of the count sketch, bits of membership filters, hash ranges of the suffix filter,
+#: each as a power of two.
+SKETCH_BITS, FILTER_BITS, RANGE_BITS = 22, 26, 6
+_BLOCK_BITS = 16
 
 _B = 0x9E3779B97F4A7C15 | 1
 _B_INV = pow(_B, -1, 1 << 64)
@@ -91,13 +94,22 @@ def _class_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _pack(counts: np.ndarray) -> bytes:
+    return zlib.compress(np.minimum(counts.astype(np.int64), 2**32 - 1).astype(np.uint32).tobytes(), 1)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), dtype=np.uint32)
+
+
 def _sets(texts: DataFrame, k: int) -> DataFrame:
     """First pass.  ``kind`` 0: a document's ``id, n, c`` (set size and class) and its
-    counts over hash ranges; ``kind`` 1: ``n`` shingles fell into sketch cell ``c``."""
+    counts ``r`` over hash ranges; ``kind`` 1: block ``n`` of the task's count sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        cells = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        cells = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
         ranges = pa.list_(pa.int32())
+        names = ["kind", "id", "n", "c", "r", "block"]
         for batch in batches:
             n, c, r = [], [], []
             for value in batch.column("_tm_bytes"):
@@ -105,21 +117,38 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
                 n.append(len(s))
                 c.append(_class_of(s) if len(s) else 0)
                 r.append(np.bincount((s >> np.uint64(64 - RANGE_BITS)).astype(np.int64), minlength=1 << RANGE_BITS).astype(np.int32))
-                # a set has few shingles in one cell, almost always one
                 np.add.at(cells, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(n), np.int8)), batch.column("id"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(r, ranges)],
-                ["kind", "id", "n", "c", "r"],
-            )
-        at = np.flatnonzero(cells)
-        for i in range(0, len(at), 100_000):
-            part = at[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(len(part), np.int8)), pa.nulls(len(part), pa.int64()), pa.array(cells[part]), pa.array(part), pa.nulls(len(part), ranges)],
-                ["kind", "id", "n", "c", "r"],
+                [pa.array(np.zeros(len(n), np.int8)), batch.column("id"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(r, ranges), pa.nulls(len(n), pa.binary())], names
             )
+        for i in range(1 << SKETCH_BITS - _BLOCK_BITS):
+            part = cells[i << _BLOCK_BITS : i + 1 << _BLOCK_BITS]
+            if part.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([1], pa.int8()), pa.nulls(1, pa.int64()), pa.array([i], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, ranges), pa.array([_pack(part)], pa.binary())], names
+                )
+
+    return texts.mapInArrow(run, "kind tinyint, id long, n long, c long, r array<int>, block binary")
+
+
+def _sketch(first: DataFrame) -> np.ndarray:
+    """The sketch of the whole corpus: blocks are added up where they are dealt to, and
+    ``2**SKETCH_BITS`` counts come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, data in zip(batch.column("n").to_pylist(), batch.column("block"), strict=True):
+                part = _unpack(data.as_py())
+                total[i] = total[i] + part if i in total else part.astype(np.int64)
+        for i, counts in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([_pack(counts)], pa.binary())], ["n", "block"])
 
-    return texts.mapInArrow(run, "kind tinyint, id long, n long, c long, r array<int>")
+    got = first.filter("kind = 1").select("n", "block").repartition("n").mapInArrow(run, "n long, block binary").toArrow()
+    sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
+    for i, data in zip(got.column("n").to_pylist(), got.column("block").to_pylist(), strict=True):
+        sketch[i << _BLOCK_BITS : i + 1 << _BLOCK_BITS] = _unpack(data)
+    return sketch
 
 
 def _least(n: int | Column, num: int, den: int):
@@ -132,7 +161,7 @@ def _prefixes(texts: DataFrame, sketch: np.ndarray, k: int, num: int, den: int)
 
     A class seen before in the same task is left out; other copies do no harm."""
     # a fine logarithmic scale fits 16 bits, whose stable sort is linear
-    rank = np.minimum(65_535, np.log2(sketch + 1.0) * 1400).astype(np.uint16)
+    rank = np.minimum(65_535, np.log2(sketch + np.float32(1)) * np.float32(2000)).astype(np.uint16)
     shared = texts.sparkSession.sparkContext.broadcast(rank)
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -176,6 +205,41 @@ def _viable(n1: Column, p1: Column, n2: Column, p2: Column, num: int, den: int)
     return (low * den >= high * num) & (bound * (num + den) >= (n1.cast("long") + n2) * num)
 
 
+def _bits(cells: DataFrame) -> np.ndarray:
+    """A membership filter of fixed size, of the hashes ``b``."""
+    b = F.col("b").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = cells.select(b.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(1 << FILTER_BITS - 6, dtype=np.uint64)
+    bits[words.column("w").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return bits
+
+
+def _among(bits: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which hashes may be in the filter: all that are, and few others."""
+    b = b & ((1 << FILTER_BITS) - 1)
+    return (bits[b >> 6] >> (b & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def _shared(prefix: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows of ``prefix`` whose shingle lies in the prefixes of several classes.
+
+    Where just two rows meet, their pair is judged at once."""
+    # size and what the set has left from the shingle on, as one number
+    v = F.shiftleft(F.col("n").cast("long"), 32) + (F.col("n") - F.col("pos"))
+    met = prefix.groupBy("s").agg(F.count("*").alias("k"), F.min("c").alias("_a"), F.max("c").alias("_b"), F.min(v).alias("_v"), F.max(v).alias("_w")).filter("_a < _b")
+    n1, n2 = F.shiftright("_v", 32), F.shiftright("_w", 32)
+    r1, r2 = F.col("_v").bitwiseAND(F.lit((1 << 32) - 1)), F.col("_w").bitwiseAND(F.lit((1 << 32) - 1))
+    met = materialize(met.filter((F.col("k") > 2) | _viable(n1, n1 - r1, n2, n2 - r2, num, den)).select("s"), "met")
+    shared = prefix.sparkSession.sparkContext.broadcast(_bits(met.select(F.col("s").alias("b"))))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            yield batch.filter(pa.array(_among(shared.value, batch.column("s").to_numpy())))
+
+    with batch_rows(prefix.sparkSession, 50_000):
+        return materialize(prefix.mapInArrow(run, prefix.schema).join(met, "s"), "shared")
+
+
 def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).distinct()
 
@@ -200,36 +264,27 @@ class _Verifier:
         return materialize(both.filter(shared * (num + den) >= (F.col("n1") + F.col("n2")) * num).select("x", "y"), "links")
 
     def _sets(self, pairs: DataFrame) -> DataFrame:
-        """``c, s``: sets of the classes in ``pairs``, from their first documents.
-
-        Texts pass a filter of fixed size first; what it lets through wrongly goes in the join."""
+        """``c, s``: the sets of (at least) the classes in ``pairs``, from their first
+        documents.  Texts pass a filter of fixed size; what it lets through wrongly, or
+        twice, only repeats or misses in the join."""
         involved = pairs.select(F.col("x").alias("c")).union(pairs.select("y")).distinct()
-        wanted = materialize(involved.join(self.reps.select("c", "rep"), "c"), "involved")
-        cell = F.xxhash64("rep").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-        words = wanted.select(cell.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(
-            F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits")
-        ).toArrow()
-        bits = np.zeros(1 << FILTER_BITS - 6, dtype=np.uint64)
-        bits[words.column("w").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-        shared = pairs.sparkSession.sparkContext.broadcast(bits)
+        wanted = involved.join(self.reps.select("c", "rep"), "c").filter("rep is not null")
+        shared = pairs.sparkSession.sparkContext.broadcast(_bits(wanted.select(F.xxhash64("rep").alias("b"))))
         k = self.k
 
         def run(batches: Iterator[pa.RecordBatch]):
-            have = shared.value
             for batch in batches:
-                b = batch.column("b").to_numpy(zero_copy_only=False)
-                hit = np.flatnonzero(have[b >> 6] >> (b & 63).astype(np.uint64) & np.uint64(1))
-                if not len(hit):
-                    continue
-                some = batch.take(pa.array(hit))
-                got = [shingle_set(v.as_py(), k).view(np.int64) for v in some.column("_tm_bytes")]
-                yield pa.RecordBatch.from_arrays([some.column("id"), pa.array([_class_of(s) for s in got], pa.int64()), pa.array(got, pa.list_(pa.int64()))], ["id", "_c", "s"])
+                missing = batch.column("missing").to_numpy(zero_copy_only=False)
+                hit = np.flatnonzero(_among(shared.value, batch.column("b").to_numpy()) | missing)
+                if len(hit):
+                    got = [shingle_set(v.as_py(), k) for v in batch.column("_tm_bytes").take(pa.array(hit))]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([_class_of(s) for s in got], pa.int64()), pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64()))], ["c", "s"]
+                    )
 
-        given = self.texts.filter(F.col("id").isNotNull()).select("id", F.xxhash64("id").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).alias("b"), "_tm_bytes")
-        got = given.mapInArrow(run, "id long, _c long, s array<long>")
-        got = got.join(wanted, (F.col("id") == F.col("rep")) & (F.col("_c") == F.col("c"))).select("c", "s")
-        # rows that repeat an id with the same text
-        return materialize(got.groupBy("c").agg(F.any_value("s").alias("s")), "sets")
+        # a class of documents without ids has no first one: they all pass
+        given = self.texts.select(F.xxhash64("id").alias("b"), F.col("id").isNull().alias("missing"), "_tm_bytes")
+        return materialize(given.mapInArrow(run, "c long, s array<long>"), "sets")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -254,7 +309,7 @@ def find(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     ``id_col, text_col, shingle, num, den``: sets link where
     ``den * intersection >= num * union``.
     """
-    with small_batches(docs.sparkSession):
+    with batch_rows(docs.sparkSession):
         return _find(docs, **options)
 
 
@@ -262,14 +317,11 @@ def _find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("_tm_bytes"))
     first = materialize(_sets(texts, shingle), "sets")
     members = first.filter("kind = 0")
-    cells = first.filter("kind = 1").groupBy("c").agg(F.sum("n").alias("n")).toArrow()
-    sketch = np.zeros(1 << SKETCH_BITS)
-    sketch[cells.column("c").to_numpy()] = cells.column("n").to_numpy()
+    sketch = _sketch(first)
     reps = materialize(members.filter("n > 0").groupBy("c").agg(F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value("r").alias("r")), "classes")
 
     prefix = materialize(_prefixes(texts, sketch, shingle, num, den), "prefixes")
-    common = prefix.groupBy("s").agg(F.min("c").alias("_a"), F.max("c").alias("_b")).filter("_a < _b").select("s")
-    prefix = materialize(prefix.join(common, "s"), "shared")
+    prefix = _shared(prefix, num, den)
     verifier = _Verifier(texts, reps, shingle, num, den)
 
     # each member against the pivot of its shingle and length band: the member with the
