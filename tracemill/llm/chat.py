@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import materialize
+from tracemill.llm.common import materialize, schema_with
 
 _TYPES = {
     "object": lambda v: isinstance(v, dict),
@@ -140,8 +140,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping], m
                 [*(batch.column(c) for c in kept), pa.array(valid, pa.bool_()), pa.array(error, pa.string()), pa.array(record, pa.string())], [*kept, "valid", "error", "record"]
             )
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name in kept), "valid boolean, error string, record string"])
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(run, schema_with(given, kept, "valid boolean, error string, record string"))
 
 
 #: Schema of the call that the registered query makes of each user turn.

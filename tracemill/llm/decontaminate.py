@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import materialize, text_bytes
+from tracemill.llm.common import materialize, schema_with, text_bytes
 
 #: Byte -> itself in lower case if it belongs to a word, else a space.
 _FOLD = bytes(
@@ -207,7 +207,6 @@ def find_spans(
         bring = rest if following is not None or keep_text else [c for c in rest if c != text_col]
         carried = [] if first else ["_tm_n_words", "_tm_spans", "_tm_items"]
         given = out.select(*bring, *carried, text_bytes(text_col).alias("_tm_bytes"))
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name in bring)
 
         def run(batches, shared=shared, bring=bring, first=first):
             a = shared.value
@@ -231,7 +230,7 @@ def find_spans(
                     [*bring, "_tm_n_words", "_tm_spans", "_tm_items"],
                 )
 
-        out = given.mapInArrow(run, ", ".join(x for x in (schema, _FOUND) if x))
+        out = given.mapInArrow(run, schema_with(given, bring, _FOUND))
         automaton, first = following, False
     return out
 

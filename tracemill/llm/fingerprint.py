@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracemill.functions.arrays import constant, count_below
 from tracemill.llm.common import materialize
 
 #: Sums kept a text; each holds two sign lanes, at bits 0 and 31.
@@ -100,14 +101,8 @@ def likeness(a: str, b: str) -> Column:
 
 def _bucket(id_col: Column, bounds: list[int]) -> Column:
     """Number of bounds not above the id, by binary search; null ids come after all."""
-    n = len(bounds)
-    steps = [1 << i for i in range(max(1, n).bit_length() - 1, -1, -1)]
-    table = F.lit(bounds).cast("array<bigint>") if bounds else F.array(F.lit(0).cast("long"))
-    found = F.aggregate(
-        F.lit(steps).cast("array<int>"), F.lit(0),
-        lambda at, s: F.when((at + s <= n) & F.coalesce(F.get(table, at + s - 1) <= id_col, F.lit(False)), at + s).otherwise(at),
-    )
-    return F.when(id_col.isNull(), F.lit(n + 1)).otherwise(found)
+    found = count_below(bounds, id_col, inclusive=True)
+    return F.when(id_col.isNull(), F.lit(len(bounds) + 1)).otherwise(found)
 
 
 def in_order(docs: DataFrame, *, per_bucket: int = 256, max_buckets: int = 16_384) -> DataFrame:
@@ -134,8 +129,9 @@ def in_order(docs: DataFrame, *, per_bucket: int = 256, max_buckets: int = 16_38
         lead = rows.join(F.broadcast(heads), (F.col("_b") == F.col("_of")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_first")))
         lead = lead.groupBy("_of", "_to", "doc_id").agg(F.min_by("_t", F.struct(F.xxhash64("_t"), "_t")).alias("_t"))
         rows = rows.unionByName(lead.select("doc_id", "_t", F.col("_to").alias("_b"), F.lit(1).alias("_copy")))
+        # the bucket after each one, as a constant array by bucket number
         onward = {to: of for of, _, to in following}
-        nb = F.element_at(F.create_map(*[F.lit(x) for pair in onward.items() for x in pair]), F.col("_b"))
+        nb = F.get(constant([onward.get(b, 0) for b in range(len(bounds) + 2)], "int"), F.col("_b"))
     else:
         nb = F.lit(0)
     w = W.partitionBy("_b").orderBy(*order)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.llm.common import schema_with
+
 MAX_DEPTH = 120
 
 # Fixed sets of HTML element names.
@@ -382,11 +384,10 @@ def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") ->
     """``pages`` with ``out_col``, the visible text, in place of ``html_col``."""
     keep = [c for c in pages.columns if c not in (html_col, out_col)]
     given = pages.select(*keep, F.col(html_col).cast("string").alias("_tm_html"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name in keep]
 
     def run(batches):
         for batch in batches:
             got = [render(x.as_py()) for x in batch.column("_tm_html")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(got, pa.string())], [*keep, out_col])
 
-    return given.mapInArrow(run, ", ".join([*fields, f"`{out_col}` string"]))
+    return given.mapInArrow(run, schema_with(given, keep, f"`{out_col}` string"))

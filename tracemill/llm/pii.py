@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import text_bytes
+from tracemill.llm.common import schema_with, text_bytes
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("pattern", "checksum", "gazetteer", "context", "shape", "boundary")
@@ -159,7 +159,7 @@ def gather(data: bytes) -> tuple[str, dict, list]:
     """(text, base spans, candidates with votes) of a text; nothing for most."""
     if not _MAY.search(data):
         return "", {}, []
-    text = data.decode()
+    text = data.decode(errors="replace")
     base = base_spans(text)
     found = []
     for k, a, b in _candidates(text):
@@ -288,7 +288,6 @@ def report(docs: DataFrame, *, threshold: float = 0.5) -> DataFrame:
     counts are of base spans."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
     given = docs.select("doc_id", text_bytes().alias("_tm_bytes"))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         model = shared.value
@@ -305,8 +304,8 @@ def report(docs: DataFrame, *, threshold: float = 0.5) -> DataFrame:
                 ["doc_id", *(f"n_{k}" for k in KINDS), "base", "spans"],
             )
 
-    schema = f"doc_id {id_type}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, spans string"
-    out = given.mapInArrow(run, schema)
+    added = ", ".join(f"n_{k} long" for k in KINDS) + ", base string, spans string"
+    out = given.mapInArrow(run, schema_with(given, ["doc_id"], added))
     return out.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), "spans")
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import text_bytes
+from tracemill.llm.common import schema_with, text_bytes
 
 _ORDERS = (3, 4, 5)
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -315,7 +315,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = docs.columns
     given = docs.select(*keep, text_bytes(text_col).alias("_tm_bytes"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
 
     def run(batches):
         m = shared.value
@@ -323,14 +322,13 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             got = [m.score(tokens(v.as_py())) for v in batch.column("_tm_bytes")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(got, pa.float64())], [*keep, "_tm_score"])
 
-    return given.mapInArrow(run, ", ".join([*fields, "_tm_score double"]))
+    return given.mapInArrow(run, schema_with(docs, keep, "_tm_score double"))
 
 
 def _score_only(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, held_out, _tm_score`` without carrying the texts back."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     given = docs.select("doc_id", held_out().alias("held_out"), text_bytes().alias("_tm_bytes"))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         m = shared.value
@@ -338,7 +336,7 @@ def _score_only(docs: DataFrame, model: Model) -> DataFrame:
             got = [m.score(tokens(v.as_py())) for v in batch.column("_tm_bytes")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(got, pa.float64())], ["doc_id", "held_out", "_tm_score"])
 
-    return given.mapInArrow(run, f"doc_id {id_type}, held_out boolean, _tm_score double")
+    return given.mapInArrow(run, schema_with(given, ["doc_id", "held_out"], "_tm_score double"))
 
 
 def report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.llm.common import schema_with
+
 # Fixed vocabulary: one strict term rejects a URL.
 STRICT_TERMS = (
     "adult-x", "bestiality", "camgirl", "camgirls", "casino-win", "cheap-pills", "escort-girls", "hardcore-sex",
@@ -97,7 +99,6 @@ def count_terms(df: DataFrame, url_col: str, strict: Sequence[str] = STRICT_TERM
     """``df`` with ``n_strict`` (hits) and ``soft_terms`` (distinct, sorted) of a URL column."""
     keep = [c for c in df.columns if c not in ("n_strict", "soft_terms")]
     given = df.select(*keep, F.col(url_col).cast("string").alias("_tm_url"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name in keep]
 
     def run(batches):
         vocabulary = Vocabulary(strict, soft)
@@ -108,7 +109,7 @@ def count_terms(df: DataFrame, url_col: str, strict: Sequence[str] = STRICT_TERM
                 [*keep, "n_strict", "soft_terms"],
             )
 
-    return given.mapInArrow(run, ", ".join([*fields, "n_strict long", "soft_terms array<string>"]))
+    return given.mapInArrow(run, schema_with(given, keep, "n_strict long, soft_terms array<string>"))
 
 
 def split_url(url):
