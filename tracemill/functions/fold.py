@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 
-def sorted_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str], make: Callable, outputs: str) -> DataFrame:
+def sorted_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str], make: Callable, outputs: str, active: str | None = None) -> DataFrame:
     """``df`` with the columns ``outputs`` (a DDL string).
 
     For each key ``make(*key)`` gives a state; for each of its rows in ``order``
-    ``state.step(*inputs)`` gives the row's output tuple.
+    ``state.step(*inputs)`` gives the row's output tuple.  Rows whose boolean column
+    ``active`` is not true pass by: they get nulls and leave the state alone.
     """
     added = StructType.fromDDL(outputs)
     names = df.columns
@@ -34,7 +35,12 @@ def sorted_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs
             made: list[list] = [[] for _ in kinds]
             of = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
             rows = zip(*(batch.column(c).to_pylist() for c in inputs), strict=True)
-            for key, row in zip(of, rows, strict=True):
+            on = batch.column(active).to_pylist() if active else [True] * len(of)
+            for key, row, steps in zip(of, rows, on, strict=True):
+                if not steps:
+                    for out in made:
+                        out.append(None)
+                    continue
                 if state is None or key != at:
                     state, at = make(*key), key
                 for out, value in zip(made, state.step(*row), strict=True):

@@ -43,25 +43,26 @@ class TokenBucket:
         return (False,)
 
 
-def dedup(df: DataFrame, keys: list[str], ttl_us: int, t: str = "t", order: str = "seq") -> DataFrame:
-    """``df`` with ``duplicate``; time in microseconds, ties by ``order``."""
-    return sorted_fold(df, keys, [t, order], [t], lambda *_: TtlDedup(ttl_us), "duplicate boolean")
+def dedup(df: DataFrame, keys: list[str], ttl_us: int, t: str = "t", order: str = "seq", active: str | None = None) -> DataFrame:
+    """``df`` with ``duplicate``; time in microseconds, ties by ``order``.  Only rows
+    whose column ``active`` is true are calls (default: all)."""
+    return sorted_fold(df, keys, [t, order], [t], lambda *_: TtlDedup(ttl_us), "duplicate boolean", active)
 
 
-def limit(df: DataFrame, keys: list[str], bucket: RateLimit, name: str = "allowed", t: str = "t", order: str = "seq") -> DataFrame:
-    """``df`` with the verdict of one token bucket a key."""
+def limit(df: DataFrame, keys: list[str], bucket: RateLimit, name: str = "allowed", t: str = "t", order: str = "seq", active: str | None = None) -> DataFrame:
+    """``df`` with the verdict of one token bucket a key.  Only rows whose column
+    ``active`` is true are calls (default: all)."""
     rate, capacity = bucket.rate, bucket.capacity
-    return sorted_fold(df, keys, [t, order], [t], lambda *_: TokenBucket(rate, capacity), f"{name} boolean")
+    return sorted_fold(df, keys, [t, order], [t], lambda *_: TokenBucket(rate, capacity), f"{name} boolean", active)
 
 
-def limit_chained(df: DataFrame, user: str, channel: str, user_limit: RateLimit, channel_limit: RateLimit) -> DataFrame:
+def limit_chained(df: DataFrame, user: str, channel: str, user_limit: RateLimit, channel_limit: RateLimit, active: str | None = None) -> DataFrame:
     """``df`` with ``user_ok`` and ``channel_ok`` (null where the user's bucket denied).
 
     The channel's bucket sees only what the user's let through, and a user's token is
     spent even where the channel then denies."""
-    first = limit(df, [user], user_limit, "user_ok")
-    second = limit(first.filter("user_ok"), [channel], channel_limit, "channel_ok")
-    return second.unionByName(first.filter("not user_ok").withColumn("channel_ok", F.lit(None).cast("boolean")))
+    first = limit(df, [user], user_limit, "user_ok", active=active)
+    return limit(first, [channel], channel_limit, "channel_ok", active="user_ok")
 
 
 def invalid_reason(user: Column, channel: Column, to: Column, body: Column, channels: tuple[str, ...]) -> Column:

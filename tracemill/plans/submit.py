@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tracemill.config import CHANNELS, DeliveryConfig
 from tracemill.functions.codec import band, retry_after, submit_status
 from tracemill.functions.hashing import dedup_key, request_id
+from tracemill.functions.tables import materialize
 from tracemill.operators.admission import dedup, invalid_reason, limit_chained
 from tracemill.operators.delivery import queue_admission
 
@@ -29,18 +30,18 @@ def submit(requests: DataFrame, config: DeliveryConfig) -> DataFrame:
     request; ``stored`` is the status its record ends with (null: none was made)."""
     v = validated(requests).withColumns({
         "id": request_id(F.col("seq")), "key": dedup_key(F.col("user_id"), F.col("channel"), F.col("to"), F.col("body"), F.col("subject")),
-    }).select("seq", "t", "id", "user_id", "channel", "band", "key", "invalid_reason")
-    ends = v.filter("invalid_reason is not null").withColumn("outcome", F.lit("invalid"))
-    limited = limit_chained(v.filter("invalid_reason is null"), "user_id", "channel", config.user_limit, config.channel_limit)
-    denied = limited.filter("not user_ok or not channel_ok").withColumn("outcome", F.lit("rate_limited"))
-    seen = dedup(limited.filter("user_ok and channel_ok"), ["key"], int(config.dedup_seconds * 1e6))
-    repeated = seen.filter("duplicate").withColumn("outcome", F.lit("duplicate"))
-    placed = queue_admission(seen.filter("not duplicate"), config.bands)
-    placed = placed.withColumn("outcome", F.when(F.col("queue_ok"), "queued").otherwise("queue_full"))
+        "valid": F.col("invalid_reason").isNull(),
+    }).select("seq", "t", "id", "user_id", "channel", "band", "key", "valid")
+    limited = limit_chained(v, "user_id", "channel", config.user_limit, config.channel_limit, active="valid")
+    seen = dedup(limited, ["key"], int(config.dedup_seconds * 1e6), active="channel_ok")
+    # one evaluation of the chain; queueing reads it several times
+    seen = materialize(seen.select("seq", "t", "id", "channel", "band", "valid", "user_ok", "channel_ok", "duplicate"), "admitted")
+    early = F.when(~F.col("valid"), "invalid").when(~F.col("user_ok") | ~F.coalesce("channel_ok", F.lit(False)), "rate_limited").when(F.col("duplicate"), "duplicate")
     cols = ["seq", "t", "id", "channel", "band", "outcome"]
-    out = ends.select(*cols)
-    for part in (denied, repeated, placed):
-        out = out.unionByName(part.select(*cols))
+    seen = seen.withColumn("outcome", early)
+    placed = queue_admission(seen.filter("outcome is null").drop("outcome"), config.bands)
+    placed = placed.withColumn("outcome", F.when(F.col("queue_ok"), "queued").otherwise("queue_full"))
+    out = seen.filter("outcome is not null").select(*cols).unionByName(placed.select(*cols))
     o = F.col("outcome")
     return out.withColumns({
         "stored": F.when(o == "queued", "queued").when(o == "queue_full", "pending"), "http_status": submit_status(o), "retry_after": retry_after(o),
