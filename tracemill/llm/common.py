@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tracemill.functions.tables import materialize, shared_dir
+
+__all__ = ["SPACE_CLASS", "batch_rows", "materialize", "schema_with", "shared_dir", "table", "text_bytes"]
+
 #: Word separators of the contracts: space and the ASCII controls 09-0D.  These
 #: are exactly the bytes that ``bytes.split()`` splits on.
 SPACE_CLASS = "\\x20\\x09-\\x0D"
@@ -21,33 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session has none (single-machine tests) a temporary folder
-    is chosen, once a session.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="tracemill-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This cuts the lineage at a table that survives the loss of any executor, and
-    lets two consumers share one evaluation.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tracemill/{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def schema_with(df: DataFrame, keep: Sequence[str], added: str) -> StructType:
     """Schema of the columns ``keep`` of ``df`` and those of the DDL string ``added``."""
     return StructType([*(df.schema[c] for c in keep), *StructType.fromDDL(added).fields])
