@@ -14,8 +14,17 @@ from tracemill.llm import decontaminate, jaccard_join, mixing, pii, toxicity
 from tracemill.llm.common import materialize, table
 
 
+def _few_texts_at_once(spark: SparkSession) -> None:
+    """Texts go to Python 500 at a time: both sides keep whole batches, and what one
+    stage's workers keep lasts into the next.  A smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= 500:
+        spark.conf.set(key, "500")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model scores at 0.5 or more go."""
+    _few_texts_at_once(spark)
     return toxicity.reject(docs, table(spark, sf_dir, "labels"))
 
 
@@ -26,11 +35,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out; a document that is mostly such passages goes."""
+    _few_texts_at_once(spark)
     return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"), max_coverage=0.5)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data give way to the name of their kind."""
+    _few_texts_at_once(spark)
     return pii.redact(docs)
 
 
