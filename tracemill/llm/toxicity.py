@@ -82,6 +82,22 @@ def features(words: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(owners)
 
 
+def feature_table(words: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words one after the other, and where each word's begin; worked
+    out for some words at a time, as the arrays on the way are many times larger."""
+    feats, counts = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
+    for i in range(0, len(words), 20_000):
+        part = words[i : i + 20_000]
+        bucket, of = features(part, bits)
+        feats.append(bucket[np.argsort(of, kind="stable")].astype(np.int32))
+        counts.append(np.bincount(of, minlength=len(part)))
+    return np.concatenate(feats), np.cumsum(np.concatenate(counts))
+
+
+def _word_margins(margin: np.ndarray, feats: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(margin.astype(np.float32)[feats], starts[:-1]) / np.diff(starts)
+
+
 @dataclass
 class Model:
     """``margin`` of each feature bucket, the passage bias, and the calibration."""
@@ -99,7 +115,7 @@ class Model:
         return self.__dict__ | {"_cache": {}}
 
     def learn_words(self, words: set[bytes]) -> None:
-        if len(self._cache) + len(words) > 400_000:
+        if len(self._cache) + len(words) > 100_000:
             self._cache.clear()
         new = [w for w in words if w not in self._cache]
         for i in range(0, len(new), 50_000):
@@ -220,10 +236,7 @@ def train(
                 owner.append(d)
     owner = np.array(owner, dtype=np.int64)
     words = list(vocab)
-    bucket, of = features(words, bits)
-    at = np.argsort(of, kind="stable")
-    feats = bucket[at]
-    starts = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(words)))))
+    feats, starts = feature_table(words, bits)
     truth = np.array([int(bool(t)) for t in toxic])[owner]
     init = rng.normal(0, 0.1, (1 << bits, dim)).astype(np.float32)
     start_out = rng.normal(0, 0.5, (dim, 2))
@@ -236,8 +249,7 @@ def train(
         share = np.where(goal == 1, 0.5 / max(1, goal.sum()), 0.5 / max(1, (goal == 0).sum())) * len(goal)
         vec, out, bias, *_ = _fit_passages(words, feats, starts, chosen, goal, share, bits, dim, 2 if r < rounds - 1 else 3, rng, state)
         model = Model(bits, width, (vec @ (out[:, 1] - out[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
-        n_feat = np.diff(starts)
-        s = np.bincount(np.repeat(np.arange(len(words)), n_feat), weights=model.margin[feats], minlength=len(words)) / np.maximum(n_feat, 1)
+        s = _word_margins(model.margin, feats, starts)
         margin = np.array([s[p].mean() for p in passages]) + model.bias
         top = np.full(len(texts), -np.inf)
         np.maximum.at(top, owner, margin)
@@ -253,14 +265,12 @@ def train(
             extra.append(np.arange(len(words) + len(made), len(words) + len(made) + len(passages[i])))
             made += [misspell(words[j], rng) for j in passages[i].tolist()]
         extra_truth = truth[copied]
-        more, of_more = features(made, bits)
-        feats = np.concatenate((feats, more[np.argsort(of_more, kind="stable")]))
-        starts = np.concatenate((starts, starts[-1] + np.cumsum(np.bincount(of_more, minlength=len(made)))))
+        more, begin = feature_table(made, bits)
+        feats, starts = np.concatenate((feats, more)), np.concatenate((starts, starts[-1] + begin[1:]))
         words = words + made
     # calibration of the worst passage's margin
     # and of the misspelt worst passages, which are toxic too
-    n_feat = np.diff(starts)
-    s = np.bincount(np.repeat(np.arange(len(words)), n_feat), weights=model.margin[feats], minlength=len(words)) / np.maximum(n_feat, 1)
+    s = _word_margins(model.margin, feats, starts)
     odd = np.array([s[p].mean() for p, t in zip(extra, extra_truth, strict=True) if t]) + model.bias
     x = np.concatenate(([model.worst(tokens(t)) for t in texts], odd))
     x = np.maximum(x, np.min(x[np.isfinite(x)]))  # texts without words are as clean as any
