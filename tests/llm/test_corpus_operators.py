@@ -112,6 +112,23 @@ def test_probabilities_sum_to_one(spark):
     assert np.allclose(mass[used], 1, atol=1e-6)
 
 
+def test_words_of_one_group_are_parted_by_their_contexts(spark):
+    nouns, verbs = [f"n{i}zzz" for i in range(20)], [f"v{i}zzz" for i in range(20)]
+    rng = random.Random(5)
+    one_of = lambda words: rng.choices(words, [30] * 5 + [2] * 15)[0]
+    texts = [" ".join(f"the {one_of(nouns)} will {one_of(verbs)}" for _ in range(30)) for _ in range(60)]
+    df = docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)]).select("doc_id", text_bytes().alias("_tm_bytes"))
+    for n_head in (1_000, 16):
+        m, placed = class_lm._fit(df.withColumn("held_out", F.lit(False)), class_lm.count_words(df), n_words=13, n_groups=1, n_classes=6, n_head=n_head, trust=1.0)
+        by_class = {}
+        for r in placed.collect():
+            for w, k in zip(texts[r.doc_id].split(), np.frombuffer(r.classes, dtype=np.int16).tolist(), strict=False):
+                if w in nouns[5:] or w in verbs[5:]:
+                    by_class.setdefault(k, Counter())[w[0]] += 1
+        most = sum(max(c.values()) for c in by_class.values()) / sum(sum(c.values()) for c in by_class.values())
+        assert most > 0.9, by_class
+
+
 def test_no_training_rows(spark):
     docs = docs_of(spark, [(9000, "a b", "s")])
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)

@@ -1,17 +1,20 @@
 """Brown class-based bigram language model.
 
-Words are counted over all training texts.  Clustering items are the ``n_words``
-commonest words and ``n_groups`` groups of the other words by their last three
-bytes, so that every word, seen or not, has an item; exchange clustering moves
-items between ``n_classes`` classes while the likelihood of the class bigrams of
-the whole training corpus rises.  The probability of a word is the smoothed
+Words are counted over all training texts.  Exchange clustering of the ``n_words``
+commonest words and of ``n_groups`` groups of the others (by their last three bytes)
+gives the first classes: items move between ``n_classes`` classes while the likelihood
+of the class bigrams of the whole training corpus rises.  Then, in rounds, every other
+word of the training texts is counted with the classes before and after it, in a table
+that stays distributed, and goes to the class that makes its own contexts likeliest; its
+group's contexts, as a few tokens besides, decide for a word hardly ever seen, and the
+group's class stands for a word never seen.  The probability of a word is the smoothed
 transition between classes times its emission from its class, with absolute
 discounting that leaves mass for words never seen.
 
-What is broadcast is bounded: a matrix of class transitions, and the counts of at
-most ``n_head`` common words, which score most tokens where they are read.  The
-other words of each document are joined with the table of counts, which stays
-distributed; common words, being broadcast, cannot make that join uneven.
+What is broadcast is bounded: a matrix of class transitions, and the counts and classes
+of at most ``n_head`` common words.  The other words of each document are joined with
+the table of counts and classes; common words, being broadcast, cannot make that join
+uneven.
 
 Defined results: null and empty texts have one token, the end; a null id counts as
 the empty text where the held-out rows are chosen; without training tokens the
@@ -71,40 +74,186 @@ def count_words(texts: DataFrame, col: str = "_tm_bytes", flush: int = 400_000)
     return texts.select(col).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def count_bigrams(texts: DataFrame, items: dict[bytes, int], n_words: int, n_groups: int, col: str = "_tm_bytes") -> np.ndarray:
+def _encode(texts: DataFrame, head: dict[bytes, int]) -> DataFrame:
+    """The texts' words, each text finished by END, as ``codes``: the place of a common
+    word in ``head``, or ``-1 - i`` for the i-th of the text's other words, ``_tail``."""
+    shared = texts.sparkSession.sparkContext.broadcast(head)
+    names = [c for c in texts.columns if c != "_tm_bytes"]
+
+    def run(batches):
+        get, end = shared.value.get, shared.value[END]
+        for batch in batches:
+            codes, tails = [], []
+            for value in batch.column("_tm_bytes"):
+                words, tail = words_of(value.as_py()), {}
+                ids = np.empty(len(words) + 1, dtype=np.int32)
+                ids[:-1] = np.fromiter((x if (x := get(w)) is not None else -1 - tail.setdefault(w, len(tail)) for w in words), np.int32, len(words))
+                ids[-1] = end
+                codes.append(ids.tobytes())
+                tails.append(list(tail))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(codes, pa.binary()), pa.array(tails, pa.list_(pa.binary()))], [*names, "codes", "_tail"])
+
+    return texts.mapInArrow(run, schema_with(texts, names, "codes binary, _tail array<binary>"))
+
+
+def _encoded_texts(batch):
+    """(codes, tail words) of each text of a batch of :func:`_encode`."""
+    for codes, tail in zip(batch.column("codes"), batch.column("_tail").to_pylist(), strict=True):
+        yield np.frombuffer(codes.as_py(), dtype=np.int32), tail
+
+
+def count_bigrams(encoded: DataFrame, item_of: np.ndarray, end: int, n_words: int, n_groups: int) -> np.ndarray:
     """Matrix of item bigrams of all texts; a text begins and finishes with END."""
     n = n_words + n_groups
-    shared = texts.sparkSession.sparkContext.broadcast(items)
+    shared = encoded.sparkSession.sparkContext.broadcast(item_of)
 
     def run(batches):
         total = np.zeros(n * n, dtype=np.int64)
-        get, end = shared.value.get, shared.value[END]
         for batch in batches:
-            for value in batch.column(0):
-                words = words_of(value.as_py())
-                ids = [end]
-                for i in range(0, max(len(words), 1), 1_000_000):
-                    ids += [x if (x := get(w)) is not None else n_words + group_of(w, n_groups) for w in words[i : i + 1_000_000]]
-                    if i + 1_000_000 >= len(words):
-                        ids.append(end)
-                    a = np.array(ids, dtype=np.int64)
-                    pairs = a[:-1] * n + a[1:]
-                    if len(pairs) > 50_000:
-                        total += np.bincount(pairs, minlength=n * n)
-                    else:
-                        np.add.at(total, pairs, 1)
-                    ids = ids[-1:]
+            for codes, tail in _encoded_texts(batch):
+                a = np.full(len(codes) + 1, shared.value[end], dtype=np.int64)
+                a[1:] = _looked_up(codes, shared.value, [n_words + group_of(w, n_groups) for w in tail])
+                pairs = a[:-1] * n + a[1:]
+                if len(pairs) > 50_000:
+                    total += np.bincount(pairs, minlength=n * n)
+                else:
+                    np.add.at(total, pairs, 1)
         at = np.flatnonzero(total)
         for i in range(0, len(at), 500_000):
             part = at[i : i + 500_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], ["pair", "c"])
 
-    got = texts.select(col).mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
+    got = encoded.select("codes", "_tail").mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
     matrix = np.zeros(n * n, dtype=np.float64)
     matrix[got.column("pair").to_numpy()] = got.column("c").to_numpy()
     return matrix.reshape(n, n)
 
 
+def _looked_up(codes: np.ndarray, of_head: np.ndarray, of_tail) -> np.ndarray:
+    """What belongs to each code: from ``of_head``, or of the text's own other words."""
+    out = of_head[np.maximum(codes, 0)]
+    if len(of_tail):
+        rare = np.flatnonzero(codes < 0)
+        out[rare] = np.asarray(of_tail, dtype=out.dtype)[-1 - codes[rare]]
+    return out
+
+
+#: A context of a word: the class after it, or ``n_classes`` plus the class before it.
+_CTX = np.dtype([("slot", "<u2"), ("n", "<u4")])
+
+
+def _resolve(encoded: DataFrame, words: DataFrame) -> DataFrame:
+    """``encoded`` with ``_seen``: place, count and class of its other words in ``words``."""
+    tail = encoded.select("_row", F.posexplode("_tail").alias("i", "w"))
+    tail = tail.join(words, F.col("w") == F.col("word")).groupBy("_row").agg(F.collect_list(F.struct("i", "c", "k")).alias("_seen"))
+    return encoded.join(tail, "_row", "left")
+
+
+def _tail_known(batch, n_groups: int, group_class: np.ndarray):
+    """(codes, tail words, their counts, their classes) of each text of a batch; a word
+    never counted has count 0 and the class of its group."""
+    seen = batch.column("_seen").to_pylist() if "_seen" in batch.schema.names else [None] * len(batch)
+    for (codes, tail), known in zip(_encoded_texts(batch), seen, strict=True):
+        c = np.zeros(len(tail), dtype=np.int64)
+        k = np.array([group_class[group_of(w, n_groups)] for w in tail], dtype=np.int64)
+        for r in known or ():
+            c[r["i"]], k[r["i"]] = r["c"], r["k"]
+        yield codes, tail, c, k
+
+
+def _contexts(encoded: DataFrame, head: list[bytes], head_class: np.ndarray, group_class: np.ndarray, n_classes: int, flush: int = 4_000_000) -> DataFrame:
+    """Word x class counts: ``word, ctx`` with the packed contexts of a word in part of the
+    texts, and ``pair, n``, the class bigrams, where the word is null."""
+    shared = encoded.sparkSession.sparkContext.broadcast((head, head_class, group_class))
+    slots = 2 * n_classes
+
+    def run(batches):
+        words, of_head, of_group = shared.value
+        end, n_groups = words.index(END), len(of_group)
+        pair = np.zeros(n_classes * n_classes, dtype=np.int64)
+        more: dict[bytes, int] = {}
+        keys, held = [], 0
+
+        def out():
+            u, n = np.unique(np.concatenate(keys), return_counts=True)
+            packed = np.empty(len(u), dtype=_CTX)
+            packed["slot"], packed["n"] = u % slots, n
+            u //= slots
+            begin = np.flatnonzero(np.diff(u, prepend=-1))
+            names, stop = list(more), np.append(begin[1:], len(u))
+            for i in range(0, len(begin), 20_000):
+                part = u[begin[i : i + 20_000]].tolist()
+                ctx = [packed[x:y].tobytes() for x, y in zip(begin[i : i + 20_000].tolist(), stop[i : i + 20_000].tolist(), strict=True)]
+                word = [words[x] if x < len(words) else names[x - len(words)] for x in part]
+                yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(ctx, pa.binary()), pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.int64())], ["word", "ctx", "pair", "n"])
+
+        for batch in batches:
+            for codes, tail, _, k in _tail_known(batch, n_groups, of_group):
+                cls = np.empty(len(codes) + 1, dtype=np.int64)
+                cls[0], cls[1:] = of_head[end], _looked_up(codes, of_head, k)
+                word = np.empty(len(codes) + 1, dtype=np.int64)
+                word[0], word[1:] = end, codes
+                if tail:
+                    rare = np.flatnonzero(word < 0)
+                    word[rare] = np.array([len(words) + more.setdefault(w, len(more)) for w in tail])[-1 - word[rare]]
+                keys += [word[:-1] * slots + cls[1:], word[1:] * slots + n_classes + cls[:-1]]
+                np.add.at(pair, cls[:-1] * n_classes + cls[1:], 1)
+                held += 2 * len(codes)
+                if held > flush:
+                    yield from out()
+                    more, keys, held = {}, [], 0
+        if keys:
+            yield from out()
+        at = np.flatnonzero(pair)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.binary()), pa.array(at, pa.int32()), pa.array(pair[at], pa.int64())], ["word", "ctx", "pair", "n"])
+
+    names = [c for c in ("codes", "_tail", "_seen") if c in encoded.columns]
+    return encoded.select(*names).mapInArrow(run, "word binary, ctx binary, pair int, n long")
+
+
+def _pair_matrix(pairs: DataFrame, n_classes: int) -> np.ndarray:
+    pair = np.zeros(n_classes * n_classes)
+    for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        pair[r.pair] = r.n
+    return pair.reshape(n_classes, n_classes)
+
+
+def _context_logs(pair: np.ndarray) -> np.ndarray:
+    """What a context (row) adds to the class bigram likelihood if its word is in a class."""
+    m = pair + 0.01
+    return np.concatenate(((np.log(m) - np.log(m.sum(axis=1, keepdims=True))).T, np.log(m) - np.log(m.sum(axis=0, keepdims=True))))
+
+
+def _assign(contexts: DataFrame, fixed: dict[bytes, int], logs: np.ndarray, group_logs: np.ndarray, group_class: np.ndarray) -> DataFrame:
+    """``word, c, k``: count and likeliest class of every word; ``fixed`` ones keep theirs.
+    ``group_logs`` is what a word's group says for each class before its own contexts do."""
+    grouped = contexts.filter("word is not null").groupBy("word").agg(F.collect_list("ctx").alias("ctx"))
+    shared = contexts.sparkSession.sparkContext.broadcast((fixed, logs, group_logs, group_class))
+    slots, n_classes = logs.shape
+
+    def run(batches):
+        keep, of_ctx, of_group, default = shared.value
+        live = np.unique(np.concatenate((default, np.fromiter(keep.values(), np.int64))))
+        dead = np.setdiff1d(np.arange(n_classes), live)
+        for batch in batches:
+            words, lists = batch.column("word").to_pylist(), batch.column("ctx").to_pylist()
+            data = [b"".join(x) for x in lists]
+            owner = np.repeat(np.arange(len(data)), [len(x) // _CTX.itemsize for x in data])
+            got = np.frombuffer(b"".join(data), dtype=_CTX)
+            x = np.bincount(owner * slots + got["slot"], weights=got["n"], minlength=len(data) * slots).reshape(-1, slots)
+            score = x @ of_ctx + of_group[[group_of(w, len(default)) for w in words]]
+            score[:, dead] = -np.inf
+            k = score.argmax(axis=1)
+            for i, w in enumerate(words):
+                if w in keep:
+                    k[i] = keep[w]
+            c = x[:, n_classes:].sum(axis=1).astype(np.int64)  # every token has one before it
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(c, pa.int64()), pa.array(k, pa.int32())], ["word", "c", "k"])
+
+    with batch_rows(contexts.sparkSession, 1000):
+        return materialize(grouped.mapInArrow(run, "word binary, c long, k int"), "word-classes")
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
@@ -181,8 +330,19 @@ class Model:
     unseen_log: np.ndarray  # log of the mass kept for unseen words, in tokens
 
 
-def train(docs: DataFrame, counts: DataFrame, *, n_words: int = 512, n_groups: int = 512, n_classes: int = 48, n_head: int = 262_144, pull: float = 20.0) -> Model:
-    """Fit on ``docs`` (``_tm_bytes`` of the training texts) and their word ``counts``."""
+def train(texts: DataFrame, counts: DataFrame, **options) -> Model:
+    """Fit on the training ``texts`` (``_tm_bytes``) and their word ``counts``."""
+    return _fit(texts.select("_tm_bytes", F.lit(False).alias("held_out")), counts, **options)[0]
+
+
+def _fit(
+    texts: DataFrame, counts: DataFrame, *, n_words: int = 512, n_groups: int = 512, n_classes: int = 48, n_head: int = 262_144, pull: float = 20.0, rounds: int = 2, trust: float = 4.0,
+) -> tuple[Model, DataFrame]:
+    """The model fitted on the ``texts`` that are not ``held_out``, whose words are counted
+    in ``counts``, and all texts placed in classes (:func:`_place`).
+
+    Each of ``rounds`` gives every word the class that its own contexts make likeliest;
+    its group's contexts count as ``trust`` tokens besides."""
     # counts of counts in steps of an eighth of a power of two: at most 512 rows
     bands = counts.groupBy(F.floor(F.log2("c") * 8).alias("band")).agg(
         F.count("*").alias("v"), F.sum("c").alias("n"), F.sum((F.col("c") == 1).cast("long")).alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2")
@@ -195,90 +355,107 @@ def train(docs: DataFrame, counts: DataFrame, *, n_words: int = 512, n_groups: i
         if r.v > room:
             break
         least, room = r.band, room - r.v
-    common = counts.filter(F.floor(F.log2("c") * 8) >= least) if least is not None else counts.limit(0)
-    got = common.unionByName(counts.filter(F.col("word") == F.lit(END))).dropDuplicates(["word"]).toArrow()
+    is_common = (F.floor(F.log2("c") * 8) >= least if least is not None else F.lit(False)) | (F.col("word") == F.lit(END))
+    got = counts.filter(is_common).toArrow()
     head = sorted(((c, bytes(w)) for w, c in zip(got.column("word").to_pylist(), got.column("c").to_pylist(), strict=True)), key=lambda x: (-x[0], x[1]))
     if not any(w == END for _, w in head):
         head.append((0, END))
+    place = {w: i for i, (_, w) in enumerate(head)}
     items = {w: i for i, (_, w) in enumerate([(0, END), *[x for x in head if x[1] != END]][:n_words])}
     n_words = min(n_words, len(items))
-    bigrams = count_bigrams(docs, items, n_words, n_groups)
+    encoded = materialize(_encode(texts.withColumn("_row", F.monotonically_increasing_id()), place), "codes")
+    training = encoded.filter(~F.col("held_out"))
+    item_of = np.array([items[w] if w in items else n_words + group_of(w, n_groups) for _, w in head], dtype=np.int64)
+    bigrams = count_bigrams(training, item_of, place[END], n_words, n_groups)
     cls = exchange(bigrams, n_classes)
-    group_class = cls[n_words:]
-    # words and tokens of each item: common words by themselves, the others by group
-    is_item = F.col("word").isin([bytearray(w) for w in items])
-    group = F.crc32(F.expr("substring(word, greatest(length(word) - 2, 1), 3)")) % n_groups
-    by_group = counts.filter(~is_item).groupBy(group.alias("g")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
-    size, kinds = np.zeros(n_classes), np.zeros(n_classes)
-    for c, w in head:
-        if w in items:
-            size[cls[items[w]]] += c
-            kinds[cls[items[w]]] += 1
-    for r in by_group:
-        size[group_class[r.g]] += r.n
-        kinds[group_class[r.g]] += r.v
-    size = np.maximum(size, 1e-9)
+    fixed, group_class = {w: int(cls[i]) for w, i in items.items()}, cls[n_words:]
+    head_class = cls[item_of]
     member = np.zeros((len(cls), n_classes))
     member[np.arange(len(cls)), cls] = 1.0
-    pair = member.T @ bigrams @ member
-    prior = (size + 0.5) / (size + 0.5).sum()
-    step = np.log10((pair + pull * prior) / (pair.sum(axis=1, keepdims=True) + pull))
+    near = np.concatenate((bigrams[n_words:] @ member, bigrams[:, n_words:].T @ member), axis=1)
+    near *= trust / np.maximum(near[:, n_classes:].sum(axis=1, keepdims=True), 1.0)
+    words = None
+    for _ in range(rounds):
+        given = training if words is None else _resolve(training, words)
+        contexts = materialize(_contexts(given, [w for _, w in head], head_class, group_class, n_classes), "contexts")
+        logs = _context_logs(_pair_matrix(contexts.filter("word is null"), n_classes))
+        words = _assign(contexts, fixed, logs, near @ logs, group_class)
+        got = words.filter(is_common).select("word", "k").toArrow()
+        for w, k in zip(got.column("word").to_pylist(), got.column("k").to_pylist(), strict=True):
+            head_class[place[w]] = k
+    size, kinds = np.zeros(n_classes), np.zeros(n_classes)
+    for r in words.groupBy("k").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
+        size[r.k], kinds[r.k] = r.n, r.v
+    size = np.maximum(size, 1e-9)
     head_c = np.array([c for c, _ in head], dtype=np.float64)
-    head_class = np.array([cls[items[w]] if w in items else group_class[group_of(w, n_groups)] for _, w in head], dtype=np.int64)
     class_log = np.log10(size)
-    return Model(
-        tokens, types, discount, n_words, n_groups, {w: i for i, (_, w) in enumerate(head)}, head_class,
+    model = Model(
+        tokens, types, discount, n_words, n_groups, place, head_class,
         np.log10(np.maximum(head_c - discount, 1e-9)) - class_log[head_class], np.log10((head_c + 0.1) / (tokens + 0.1 * (types + 1))),
-        group_class, step, class_log, np.log10(np.maximum(discount * kinds, 0.1)),
+        group_class, np.zeros((n_classes, n_classes)), class_log, np.log10(np.maximum(discount * kinds, 0.1)),
     )
+    placed = materialize(_place(_resolve(encoded, words), model), "classes")
+    pair = _pair_matrix(_class_pairs(placed.filter(~F.col("held_out")), n_classes, int(head_class[place[END]])), n_classes)
+    prior = (size + 0.5) / (size + 0.5).sum()
+    model.step = np.log10((pair + pull * prior) / (pair.sum(axis=1, keepdims=True) + pull))
+    return model, placed
 
 
-_TAIL = pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int32()), ("u", pa.float64())]))
-
-
-def _score_locally(texts: DataFrame, model: Model) -> DataFrame:
-    """Of each text: token count, what the common words give, and its other words
-    with their counts and what they score if they are unseen."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
-    names = [f.name for f in texts.schema if f.name != "_tm_bytes"]
+def _place(resolved: DataFrame, model: Model) -> DataFrame:
+    """Of each text: token count, known words, base score, what the words give in their
+    classes, and the ``classes`` of its tokens."""
+    shared = resolved.sparkSession.sparkContext.broadcast(model)
+    names = [c for c in resolved.columns if c not in ("codes", "_tail", "_seen")]
+    whole = math.log10(max(model.tokens + 0.1 * (model.types + 1), 1e-9))
 
     def run(batches):
         m = shared.value
-        get, end = m.head.get, m.head[END]
         for batch in batches:
-            n_tokens, known, base, score, tails = [], [], [], [], []
-            for value in batch.column("_tm_bytes"):
-                words = words_of(value.as_py())
-                n_tokens.append(len(words) + 1)
-                before, k, b, s, tail = int(m.head_class[end]), 0, 0.0, 0.0, Counter()
-                for i in range(0, max(len(words), 1), 1_000_000):
-                    part = words[i : i + 1_000_000]
-                    ids = [get(w, -1) for w in part]
-                    if i + 1_000_000 >= len(words):
-                        ids.append(end)
-                    a = np.array(ids, dtype=np.int64)
-                    classes = m.head_class[a]
-                    rare = np.flatnonzero(a < 0)
-                    if len(rare):
-                        odd = [part[j] for j in rare.tolist()]
-                        tail.update(odd)
-                        classes[rare] = m.group_class[[group_of(w, m.n_groups) for w in odd]]
-                        s -= float(m.class_log[classes[rare]].sum())
-                        a = a[a >= 0]
-                    s += float(m.step[np.concatenate(([before], classes[:-1])), classes].sum() + m.head_emit[a].sum())
-                    b += float(m.head_base[a].sum())
-                    k += len(a)
-                    before = int(classes[-1])
-                known.append(k)
-                base.append(b)
-                score.append(s)
-                tails.append([{"w": w, "n": n, "u": float(m.unseen_log[m.group_class[group_of(w, m.n_groups)]])} for w, n in tail.items()])
+            n_tokens, known, base, score, classes = [], [], [], [], []
+            for codes, _, c, k in _tail_known(batch, m.n_groups, m.group_class):
+                emit = np.where(c > 0, np.log10(np.maximum(c - m.discount, 1e-9)), m.unseen_log[k]) - m.class_log[k]
+                n_tokens.append(len(codes))
+                known.append(int(_looked_up(codes, np.ones(len(m.head), dtype=np.int64), c > 0).sum()))
+                base.append(float(_looked_up(codes, m.head_base, np.log10(c + 0.1) - whole).sum()))
+                score.append(float(_looked_up(codes, m.head_emit, emit).sum()))
+                classes.append(_looked_up(codes, m.head_class, k).astype(np.int16).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(tails, _TAIL)],
-                [*names, "n_tokens", "_known", "_base", "_score", "_tail"],
+                [*(batch.column(c) for c in names), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(classes, pa.binary())],
+                [*names, "n_tokens", "_known", "_base", "_score", "classes"],
             )
 
-    return texts.mapInArrow(run, schema_with(texts, names, "n_tokens long, _known long, _base double, _score double, _tail array<struct<w: binary, n: int, u: double>>"))
+    return resolved.mapInArrow(run, schema_with(resolved, names, "n_tokens long, _known long, _base double, _score double, classes binary"))
+
+
+def _steps(value, end: int) -> tuple[np.ndarray, np.ndarray]:
+    a = np.frombuffer(value.as_py(), dtype=np.int16).astype(np.int64)
+    return np.concatenate(([end], a[:-1])), a
+
+
+def _class_pairs(placed: DataFrame, n_classes: int, end: int) -> DataFrame:
+    def run(batches):
+        total = np.zeros(n_classes * n_classes, dtype=np.int64)
+        for batch in batches:
+            for value in batch.column(0):
+                before, after = _steps(value, end)
+                np.add.at(total, before * n_classes + after, 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["pair", "n"])
+
+    return placed.select("classes").mapInArrow(run, "pair int, n long")
+
+
+def _score(placed: DataFrame, model: Model) -> DataFrame:
+    """``placed`` with the class steps added to ``_score``."""
+    step, end = model.step, int(model.head_class[model.head[END]])
+    names = [c for c in placed.columns if c not in ("classes", "_score")]
+
+    def run(batches):
+        for batch in batches:
+            got = [s + float(step[_steps(v, end)].sum()) for s, v in zip(batch.column("_score").to_pylist(), batch.column("classes"), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(got, pa.float64())], [*names, "_score"])
+
+    return placed.mapInArrow(run, schema_with(placed, names, "_score double"))
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
@@ -290,25 +467,13 @@ def report(docs: DataFrame, **options) -> DataFrame:
 
 def _report(docs: DataFrame, **options) -> DataFrame:
     texts = docs.select("doc_id", held_out().alias("held_out"), text_bytes().alias("_tm_bytes"))
-    training = texts.filter(~F.col("held_out"))
-    counts = materialize(count_words(training), "word-counts")
-    model = train(training, counts, **options)
-    whole = math.log10(max(model.tokens + 0.1 * (model.types + 1), 1e-9))
-    local = materialize(_score_locally(texts.withColumn("_row", F.monotonically_increasing_id()), model), "scores")
-    tail = local.select("_row", F.explode("_tail").alias("t")).select("_row", F.col("t.w").alias("_w"), F.col("t.n").alias("_n"), F.col("t.u").alias("_u"))
-    tail = tail.join(counts, F.col("_w") == F.col("word"), "left")
-    seen = F.col("c").isNotNull()
-    tail = tail.groupBy("_row").agg(
-        F.sum(F.when(seen, F.col("_n")).otherwise(0)).alias("_k"),
-        F.sum(F.col("_n") * (F.log10(F.coalesce("c", F.lit(0)) + 0.1) - whole)).alias("_b"),
-        F.sum(F.col("_n") * F.when(seen, F.log10(F.col("c") - model.discount)).otherwise(F.col("_u"))).alias("_s"),
-    )
-    out = local.drop("_tail").join(tail, "_row", "left")
+    counts = materialize(count_words(texts.filter(~F.col("held_out"))), "word-counts")
+    model, placed = _fit(texts, counts, **options)
+    out = _score(placed, model)
     # END is among the common words even where training gave none
-    base = F.col("_base") + F.coalesce("_b", F.lit(0.0))
-    score = F.col("_score") + F.coalesce("_s", F.lit(0.0)) if model.tokens else base
-    known = F.col("_known") + F.coalesce("_k", F.lit(0)) if model.tokens else F.lit(0)
+    score = F.col("_score") if model.tokens else F.col("_base")
+    known = F.col("_known") if model.tokens else F.lit(0)
     return out.select(
         "doc_id", "held_out", "n_tokens", known.cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        base.alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
+        F.col("_base").alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
     )
