@@ -46,8 +46,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies to take of each document for its source's share of the mix."""
-    return mixing.mix(docs, table(spark, sf_dir, "labels"))
+    """Each document as often as its source's share of the mix takes it, with its text."""
+    return mixing.mixed(docs, table(spark, sf_dir, "labels"))
 
 
 STAGES = [

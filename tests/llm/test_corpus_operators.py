@@ -68,6 +68,21 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0), labels).count() == 0
 
 
+def test_mixed_documents(spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = [(i, f"w{i} " * (i % 7 + 1), f"s{i % 3}") for i in range(90)] + [(None, "no id", "s0"), (5, "a b", "s1"), (5, "a b", "s1"), (91, "", "s2")]
+    docs = docs_of(spark, rows)
+    digest = Counter()
+    for r in mixing.mix(docs, labels).collect():
+        digest[r.doc_id, r.source, r.size] += r.copies
+    got = mixing.mixed(docs, labels).collect()
+    assert {0, 1, 2} <= set(digest.values())
+    assert Counter((r.doc_id, r.source, r.size) for r in got) == +digest
+    assert all(len(r.text.split()) == r.size and 1 <= r.copy <= r.copies for r in got)
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    assert {*docs.columns, "copy", "copies", "target"} <= set(corpus_pipeline.STAGES[-1][1](spark, docs, SF).columns)
+
+
 def test_better_documents_are_drawn_more_often(spark):
     rows = [(i, "w " * 10, "s") for i in range(4000)] + [(i, "w " * 10, "t") for i in range(4000, 4500)]
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(4000)], "doc_id long, quality int, toxic int")

@@ -71,12 +71,12 @@ def draw(
 ) -> DataFrame:
     """``_tm_row, id, source, size, source_size, target, epochs, taken`` of each row.
 
-    ``size`` and ``weight`` are columns over ``docs``.  Sizes are computed once and
+    ``size`` and ``weight`` are columns over ``docs``; rows keep a ``_tm_row`` they have.  Sizes are computed once and
     written to the shared folder; later steps read only identifiers and numbers.
     """
     w = F.when(weight.cast("double") > 0, weight.cast("double")).otherwise(F.lit(1.0))
     base = docs.select(
-        F.monotonically_increasing_id().alias("_tm_row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
+        F.col("_tm_row") if "_tm_row" in docs.columns else F.monotonically_increasing_id().alias("_tm_row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
         size.cast("long").alias("size"), w.alias("_w"),
     )
     # 53 bits of the hash, moved off 0 and 1
@@ -114,3 +114,15 @@ def mix(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sized = docs.select("doc_id", "source", word_count("text").alias("_tm_size"))
     drawn = draw(with_quality(sized, labels), size=F.col("_tm_size"), weight=F.col("_tm_quality"))
     return drawn.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "copies")
+
+
+def mixed(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The mix itself: ``docs`` with a row for each copy that is taken, and ``size, source_size,
+    target, taken, copies`` of the document and the number ``copy``, from 1, of the row."""
+    # written once, so that a row has one number wherever it is read
+    rows = materialize(docs.withColumn("_tm_row", F.monotonically_increasing_id()), "mix-rows")
+    sized = rows.select("_tm_row", "doc_id", "source", word_count("text").alias("_tm_size"))
+    drawn = draw(with_quality(sized, labels), size=F.col("_tm_size"), weight=F.col("_tm_quality"))
+    taken = drawn.filter("copies > 0").select("_tm_row", "size", "source_size", "target", "taken", "copies")
+    out = rows.join(taken, "_tm_row").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return out.drop("_tm_row")
