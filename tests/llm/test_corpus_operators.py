@@ -177,6 +177,19 @@ def test_toxicity_generalises_to_misspellings():
     assert 0 <= score("") < 0.5
 
 
+@pytest.mark.parametrize("joint", ["\u00a0", "\u3000", "_", "/", "-"])
+def test_words_behind_many_bytes_are_scored(joint):
+    words = [f"clean{i}" for i in range(200)] + ["wretchkoz"]
+    assert toxicity.tokens(joint.join(words).encode()) == [w.encode() for w in words]
+
+
+def test_text_without_joints_is_scored_to_its_end():
+    text = "".join(chr(0x4E00 + i) for i in range(1000))
+    got = [w.decode() for w in toxicity.tokens(text.encode())]
+    assert max(map(len, got)) <= 24 and {text[i : i + 5] for i in range(996)} == {w[i : i + 5] for w in got for i in range(len(w) - 4)}
+    assert toxicity.tokens(b"-" * 100) and toxicity.features([b"x" * 500], 16)[0].size > 1400
+
+
 def test_toxicity_of_the_tables(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     odd = docs_of(spark, [(90_000, None, "s"), (90_001, "", "s"), (None, "text", "s"), (90_002, "w " * 200_000, "s")])

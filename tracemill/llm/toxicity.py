@@ -23,6 +23,7 @@ both classes the score is the share of toxic ones among the labels read (0 if no
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,12 +38,28 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _POWERS = np.cumprod(np.concatenate(([np.uint64(1)], np.full(63, _P, dtype=np.uint64))), dtype=np.uint64)
 _STRIP = b".,;:!?\"'()[]{}<>"
+#: Bytes of a word that is left whole, and characters of a piece of a longer one.
+_LONG, _PIECE = 64, 24
+_JOINTS = re.compile(r"[\s_/-]+")
+
+
+def _pieces(word: bytes) -> list[bytes]:
+    """A long word cut at Unicode spaces and at ``_ / -``, and what is still long into
+    pieces that overlap by all but one of the characters of the longest n-gram."""
+    text = word.decode(errors="replace")
+    out = []
+    for run in _JOINTS.split(text) if _JOINTS.sub("", text) else [text]:
+        if run:
+            out += [run[i : i + _PIECE] for i in range(0, max(1, len(run) - _ORDERS[-1] + 1), _PIECE - _ORDERS[-1] + 1)]
+    return [x.encode() for x in out]
 
 
 def tokens(data: bytes) -> list[bytes]:
-    """Words of a text, ASCII lower-cased; a word repeated at once counts once, so
-    that one odd word does not fill a passage."""
+    """Words of a text, ASCII lower-cased, those of more than ``_LONG`` bytes in pieces; a
+    word repeated at once counts once, so that one odd word does not fill a passage."""
     words = data.lower().split()
+    if any(len(w) > _LONG for w in words):
+        words = [x for w in words for x in (_pieces(w) if len(w) > _LONG else (w,))]
     return [w for w, before in zip(words, [None, *words], strict=False) if w != before]
 
 
@@ -55,12 +72,12 @@ def features(words: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, word index) of the subword features of the words."""
     if not words:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    marked = "".join(f"<{(w.strip(_STRIP) or w)[:400].decode(errors='replace')}>" for w in words)
+    marked = "".join(f"<{(w.strip(_STRIP) or w).decode(errors='replace')}>" for w in words)
     codes = np.frombuffer(marked.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
     raw_begin = np.flatnonzero(codes == ord("<"))
     # a word may itself hold the marks: count boundaries from the lengths instead
     if len(raw_begin) != len(words):
-        size = np.array([len((w.strip(_STRIP) or w)[:400].decode(errors="replace")) + 2 for w in words])
+        size = np.array([len((w.strip(_STRIP) or w).decode(errors="replace")) + 2 for w in words])
         begin = np.cumsum(size) - size
     else:
         begin = raw_begin
