@@ -316,6 +316,13 @@ def test_join_of_odd_tables(spark):
     assert sorted(r.doc_id for r in jaccard_join.keep_one(docs_of(spark, rows)).filter("doc_id is not null").collect()) == [1, 7]
 
 
+def test_one_row_stays_of_rows_with_null_or_repeated_ids(spark):
+    a, b, c = ("".join(f"{p}{i} " for i in range(30)) for p in "abc")
+    rows = [(None, a, "s"), (None, a, "s"), (None, a + "x", "s"), (4, b, "s"), (4, c, "s"), (2, c, "s"), (None, b, "s"), (4, b, "s"), (None, None, "s")]
+    kept = sorted(((r.doc_id, r.text) for r in jaccard_join.keep_one(docs_of(spark, rows)).collect()), key=str)
+    assert len(kept) == 4 and {(4, b), (2, c), (None, None)} <= set(kept) and sum(i is None and t is not None for i, t in kept) == 1
+
+
 def test_long_texts_hash_alike_in_blocks():
     rng = random.Random(1)
     words = [f"w{rng.randint(0, 10**6)}" for _ in range(700_000)]

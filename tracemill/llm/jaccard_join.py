@@ -109,7 +109,7 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         cells = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
         ranges = pa.list_(pa.int32())
-        names = ["kind", "id", "n", "c", "r", "block"]
+        names = ["kind", "id", "row", "n", "c", "r", "block"]
         for batch in batches:
             n, c, r = [], [], []
             for value in batch.column("_tm_bytes"):
@@ -119,16 +119,16 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
                 r.append(np.bincount((s >> np.uint64(64 - RANGE_BITS)).astype(np.int64), minlength=1 << RANGE_BITS).astype(np.int32))
                 np.add.at(cells, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(n), np.int8)), batch.column("id"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(r, ranges), pa.nulls(len(n), pa.binary())], names
+                [pa.array(np.zeros(len(n), np.int8)), batch.column("id"), batch.column("row"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(r, ranges), pa.nulls(len(n), pa.binary())], names
             )
         for i in range(1 << SKETCH_BITS - _BLOCK_BITS):
             part = cells[i << _BLOCK_BITS : i + 1 << _BLOCK_BITS]
             if part.any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([1], pa.int8()), pa.nulls(1, pa.int64()), pa.array([i], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, ranges), pa.array([_pack(part)], pa.binary())], names
+                    [pa.array([1], pa.int8()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([i], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, ranges), pa.array([_pack(part)], pa.binary())], names
                 )
 
-    return texts.mapInArrow(run, "kind tinyint, id long, n long, c long, r array<int>, block binary")
+    return texts.mapInArrow(run, "kind tinyint, id long, row long, n long, c long, r array<int>, block binary")
 
 
 def _sketch(first: DataFrame) -> np.ndarray:
@@ -303,7 +303,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
-    """(members, links): ``id, n, c, component_id`` of every row of ``docs``, and the
+    """(members, links): ``id, n, c, component_id``, and ``row, label`` if ``row_col``
+    numbers the rows (``label`` tells components apart, null for an empty set), of every row of ``docs``, and the
     verified pairs ``x, y`` of classes on which the components rest.
 
     ``id_col, text_col, shingle, num, den``: sets link where
@@ -313,8 +314,8 @@ def find(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
         return _find(docs, **options)
 
 
-def _find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("_tm_bytes"))
+def _find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"), text_bytes(text_col).alias("_tm_bytes"))
     first = materialize(_sets(texts, shingle), "sets")
     members = first.filter("kind = 0")
     sketch = _sketch(first)
@@ -352,9 +353,10 @@ def _find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     placed = reps.select("c", "rep").join(label, F.col("c") == F.col("_c"), "left").select("c", "rep", F.coalesce("label", "c").alias("l"))
     placed = materialize(placed, "components")
     names = placed.groupBy("l").agg(F.min("rep").alias("component_id"))
-    of = placed.join(names, "l").select(F.col("c").alias("_c"), "component_id")
-    out = members.select("id", "n", "c").join(of, (F.col("c") == F.col("_c")) & (F.col("n") > 0), "left")
-    return out.select("id", "n", "c", F.coalesce("component_id", F.when(F.col("n") == 0, F.col("id"))).alias("component_id")), links
+    of = placed.join(names, "l").select(F.col("c").alias("_c"), "component_id", F.col("l").alias("label"))
+    out = members.select("id", "row", "n", "c").join(of, (F.col("c") == F.col("_c")) & (F.col("n") > 0), "left")
+    rows = ["row", "label"] if row_col else []
+    return out.select("id", *rows, "n", "c", F.coalesce("component_id", F.when(F.col("n") == 0, F.col("id"))).alias("component_id")), links
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -364,16 +366,15 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 1_000_000, **options) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id.
-
-    The ids that go are broadcast only if they are at most ``max_broadcast``."""
-    members, _ = find(docs, id_col=id_col, text_col=text_col, **options)
-    members = materialize(members, "members")
-    # a row without an id goes where a row with one stands for its group
-    gone = members.filter("id <> component_id").select(F.col("id").alias("_tm_gone")).distinct()
+    """``docs`` with one row of each component: the one with the smallest id (null last),
+    then class, then place.  Rows are told apart by place, as ids may repeat or be null.
+
+    The rows that go are broadcast only if they are at most ``max_broadcast``."""
+    # written once, so that a row has one number wherever it is read
+    rows = materialize(docs.withColumn("_tm_row", F.monotonically_increasing_id()), "rows")
+    members, _ = find(rows, id_col=id_col, text_col=text_col, row_col="_tm_row", **options)
+    members = materialize(members.filter("label is not null"), "members")
+    best = members.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "c", "row")).alias("b")).select(F.col("b.row").alias("row"))
+    gone = materialize(members.join(best, "row", "left_anti").select(F.col("row").alias("_tm_row")), "gone")
     hint: Callable[[DataFrame], DataFrame] = F.broadcast if gone.count() <= max_broadcast else (lambda d: d)
-    out = docs.join(hint(gone), F.col(id_col).cast("long") == F.col("_tm_gone"), "left_anti")
-    if members.filter("id is not null").groupBy("id").count().filter("count > 1").isEmpty():
-        return out
-    keyed = out.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return keyed.unionByName(out.filter(F.col(id_col).isNull()))
+    return rows.join(hint(gone), "_tm_row", "left_anti").select(*docs.columns)
