@@ -331,6 +331,36 @@ def test_long_texts_hash_alike_in_blocks():
     assert len(data) > 4_000_000 and np.array_equal(jaccard_join.shingle_set(data, 4), whole)
 
 
+def test_long_words_count_alike_in_texts_of_any_size(spark):
+    words = [f"{i:04d}" * 1049 for i in range(962)]
+    long, short = " ".join(words), " ".join(words[:942])
+    assert len(long) > 4_000_000 > len(short)
+    rows = {1: long, 2: short, 3: " ".join(words[500:]), 4: "a " + "x" * 5000, 5: "a " + "x" * 5001}
+    got = jaccard_join.report(docs_of(spark, [(i, t, "s") for i, t in rows.items()])).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 4, 85, 100)
+
+
+def test_rows_of_a_hot_shingle_meet_only_where_their_pair_is_viable(spark):
+    rng = random.Random(7)
+    num, den = 85, 100
+    rows = [(s, c, n, rng.randint(0, n - -(-n * num // den)), c % 40 if s else c // 700) for s in (0, 1) for c in range(400) for n in [rng.randint(40, 60)]]
+    # templates with too many words of their own: none may meet
+    rows += [(2, c, 63, 9, c) for c in range(20_000)]
+    df = spark.createDataFrame(rows, "s long, c long, n int, pos int, l long")
+    rest = df.withColumn("most", jaccard_join._most(F.col("n"), F.col("pos"), num, den))
+    got = {(min(r), max(r)) for r in jaccard_join._across(rest, num, den).select("c1", "c").collect()}
+    want = set()
+    for s in (0, 1):
+        own = [r for r in rows if r[0] == s]
+        big = max(Counter(r[4] for r in own).items(), key=lambda x: (x[1], x[0]))[0]
+        for i, (_, a, n1, p1, la) in enumerate(own):
+            for _, b, n2, p2, lb in own[i + 1 :]:
+                fits = min(n1, n2) * den >= max(n1, n2) * num and min(n1 - p1, n2 - p2) * (num + den) >= (n1 + n2) * num
+                if la != lb and fits and (la != big or lb != big):
+                    want.add((min(a, b), max(a, b)))
+    assert got == want and want
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "x long, y long")
     got = {r.c: r.label for r in jaccard_join.components(links).collect()}

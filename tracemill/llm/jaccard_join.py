@@ -41,6 +41,8 @@ from tracemill.llm.common import batch_rows, materialize, text_bytes
 #: each as a power of two.
 SKETCH_BITS, FILTER_BITS, RANGE_BITS = 22, 26, 6
 _BLOCK_BITS = 16
+#: Bytes above which a word is hashed by its digest, so that blocks of a long text are bounded.
+_LONG_WORD = 4096
 
 _B = 0x9E3779B97F4A7C15 | 1
 _B_INV = pow(_B, -1, 1 << 64)
@@ -81,9 +83,11 @@ def shingle_set(data: bytes, k: int) -> np.ndarray:
     words = data.lower().split()
     if not words:
         return np.empty(0, dtype=np.uint64)
+    # one rule in texts of any size, so that a word counts alike wherever it stands
+    if len(data) > _LONG_WORD and max(map(len, words)) > _LONG_WORD:
+        words = [w if len(w) <= _LONG_WORD else b"\x00" + hashlib.blake2b(w, digest_size=24).digest().hex().encode() for w in words]
     block = b" ".join(words)
     if len(block) > 4_000_000:
-        words = [w if len(w) <= 4096 else b"\x00" + hashlib.blake2b(w, digest_size=24).digest().hex().encode() for w in words]
         step = 200_000
         parts = [_hash_block(b" ".join(words[i : i + step + k - 1]), k) for i in range(0, max(1, len(words) - k + 1), step)]
         return np.unique(np.concatenate([np.unique(p) for p in parts]))
@@ -205,6 +209,31 @@ def _viable(n1: Column, p1: Column, n2: Column, p2: Column, num: int, den: int)
     return (low * den >= high * num) & (bound * (num + den) >= (n1.cast("long") + n2) * num)
 
 
+def _most(n: Column, pos: Column, num: int, den: int) -> Column:
+    """Size of the largest set that one of size ``n`` may link with, if its first shared
+    shingle is at ``pos``.  Two rows pass :func:`_viable` exactly where neither set is
+    larger than the other's row allows."""
+    n = n.cast("long")
+    return F.least(F.floor(n * den / F.lit(num)), F.floor((n - pos) * (num + den) / F.lit(num)) - n)
+
+
+def _across(rest: DataFrame, num: int, den: int) -> DataFrame:
+    """``c1, c``: viable pairs of rows ``s, c, n, l, most`` with one shingle and different
+    components ``l``, one of which is not the group's largest.
+
+    Rows meet by shingle and both sizes: which sizes of a group can meet is settled on
+    one row a size, so only viable pairs are made, and no task holds a whole group."""
+    largest = materialize(rest.groupBy("s", "l").count().groupBy("s").agg(F.max_by("l", F.struct("count", "l")).alias("big")), "largest")
+    minor = materialize(rest.join(largest, "s").filter("l <> big").select("s", F.col("c").alias("c1"), F.col("n").alias("n1"), F.col("l").alias("l1"), F.col("most").alias("most1")), "minor")
+    mine = minor.groupBy("s", "n1").agg(F.max("most1").alias("_up1"))
+    yours = rest.groupBy("s", "n").agg(F.max("most").alias("_up"))
+    sizes = materialize(mine.join(yours, "s").filter("n <= _up1 and n1 <= _up").select("s", "n1", "n"), "sizes")
+    a = minor.join(sizes, ["s", "n1"]).filter("n <= most1").select("s", "n1", "n", "c1", "l1")
+    b = rest.join(sizes, ["s", "n"]).filter("n1 <= most").select("s", "n1", "n", "c", "l")
+    a, b = materialize(a, "minor-sizes"), materialize(b, "rest-sizes")
+    return a.join(b, ["s", "n1", "n"]).filter("l1 <> l")
+
+
 def _bits(cells: DataFrame) -> np.ndarray:
     """A membership filter of fixed size, of the hashes ``b``."""
     b = F.col("b").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
@@ -329,7 +358,8 @@ def _find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     # fewest rarer shingles of its own, which of edited copies is the least edited
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num))).cast("int") if num < den else F.col("n")
     banded = prefix.withColumn("band", band)
-    pivots = banded.groupBy("s", "band").agg(F.min(F.struct("pos", "n", "c")).alias("p"))
+    # written, as are other sums below, so that a join is alone in its stage and a hot key can be split
+    pivots = materialize(banded.groupBy("s", "band").agg(F.min(F.struct("pos", "n", "c")).alias("p")), "pivots")
     star = banded.join(pivots, ["s", "band"]).filter(F.col("c") != F.col("p.c"))
     star = star.filter(_viable(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos"), num, den)).withColumn("pc", F.col("p.c"))
     tried = materialize(_pairs(star, "c", "pc"), "star-pairs")
@@ -339,12 +369,9 @@ def _find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     label = components(links).toDF("_c", "label")
     placed = prefix.join(label, F.col("c") == F.col("_c"), "left").select("s", "c", "n", "pos", F.coalesce("label", "c").alias("l"))
     placed = materialize(placed, "placed")
-    split = placed.groupBy("s").agg(F.min("l").alias("_a"), F.max("l").alias("_b")).filter("_a < _b").select("s")
-    rest = materialize(placed.join(split, "s"), "split")
-    largest = rest.groupBy("s", "l").count().groupBy("s").agg(F.max_by("l", F.struct("count", "l")).alias("big"))
-    minor = rest.join(largest, "s").filter("l <> big").select("s", *[F.col(c).alias(f"{c}1") for c in ("c", "n", "pos", "l")])
-    cross = minor.join(rest, "s").filter(F.col("l1") != F.col("l"))
-    cross = cross.filter(_viable(F.col("n1"), F.col("pos1"), F.col("n"), F.col("pos"), num, den))
+    split = materialize(placed.groupBy("s").agg(F.min("l").alias("_a"), F.max("l").alias("_b")).filter("_a < _b").select("s"), "split-keys")
+    rest = materialize(placed.join(split, "s").withColumn("most", _most(F.col("n"), F.col("pos"), num, den)), "split")
+    cross = _across(rest, num, den)
     left = _pairs(cross, "c1", "c").join(tried, ["x", "y"], "left_anti")
     more = verifier.links(materialize(left, "cross-pairs"))
     links = links.union(more)
