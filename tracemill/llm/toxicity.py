@@ -13,12 +13,17 @@ of these and of as many clean ones.  Half of a word's features are left out at e
 step, so that each learns to speak for it.  A logistic calibration maps the worst
 passage's margin to a score.
 
-The model is fitted on at most ``max_docs`` labelled documents a class, the first
-by hash of id, of at most ``max_chars`` characters each; every whole text is scored.
+The model is fitted on at most ``max_docs`` labelled documents a class, whole texts of
+``max_docs * max_chars`` characters in all: those of at most ``max_chars`` first, then
+longer ones, each in order of a hash of the id.  Every whole text is scored.
 What is broadcast is one margin a feature bucket, ``2**bits`` floats.
 
-Defined results: null and empty texts have no passage and score 0; without labels of
-both classes the score is the share of toxic ones among the labels read (0 if none).
+Defined results: null and empty texts have no passage and score 0; without labelled
+texts with words of both classes the score is the share of toxic ones among them (0 if
+there are none), of a text without words too; each row is scored by its own text; of
+rows with one id the shortest text, then the one with the least hash, is learned from;
+of several labels of an id a toxic one counts; null ids are scored and not learned from;
+an empty table gives an empty result; columns of any name come back as they were.
 """
 
 from __future__ import annotations
@@ -237,6 +242,8 @@ def train(
     """Fit on labelled texts.  A text gives at most ``max_passages`` passages, chosen
     at random, to the clean side; all of a toxic text's passages are considered."""
     rng = np.random.default_rng(seed)
+    worded = [i for i, t in enumerate(texts) if t.split()]
+    texts, toxic = [texts[i] for i in worded], [toxic[i] for i in worded]
     n_toxic = sum(map(bool, toxic))
     if not n_toxic or n_toxic == len(toxic):
         return Model(bits, width, np.zeros(1 << bits), 0.0, constant=float(n_toxic / len(toxic)) if toxic else 0.0)
@@ -290,7 +297,6 @@ def train(
     s = _word_margins(model.margin, feats, starts)
     odd = np.array([s[p].mean() for p, t in zip(extra, extra_truth, strict=True) if t]) + model.bias
     x = np.concatenate(([model.worst(tokens(t)) for t in texts], odd))
-    x = np.maximum(x, np.min(x[np.isfinite(x)]))  # texts without words are as clean as any
     y = np.concatenate(([float(bool(t)) for t in toxic], np.ones(len(odd))))
     # both classes weigh the same; misspelt copies are a fifth of the toxic side
     part = np.concatenate((np.full(len(texts), 0.8 / n_toxic), np.full(len(odd), 0.2 / max(1, len(odd)))))
@@ -320,38 +326,31 @@ def held_out(id_col: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, max_docs: int = 1500, max_chars: int = 20_000, **options) -> Model:
-    """Train on at most ``max_docs`` labelled documents a class."""
-    marks = labels.select(F.col("doc_id").alias("_tm_id"), "toxic").dropna()
-    marks = marks.filter(~held_out("_tm_id")).groupBy("_tm_id").agg(F.max("toxic").alias("_tm_toxic"))
-    picked = [
-        marks.filter(side).orderBy(F.xxhash64(F.lit("fit"), "_tm_id"), "_tm_id").limit(max_docs)
-        for side in (F.col("_tm_toxic") > 0, F.col("_tm_toxic") <= 0)
-    ]
-    # at most 2 * max_docs rows of two numbers
-    wanted = picked[0].unionAll(picked[1])
-    sample = docs.select("doc_id", "text").join(F.broadcast(wanted), F.col("doc_id") == F.col("_tm_id"))
-    sample = sample.filter(F.coalesce(F.length("text"), F.lit(0)) <= max_chars)
-    rows = sample.select("doc_id", text_bytes().alias("b"), (F.col("_tm_toxic") > 0).cast("int").alias("y"))
-    rows = rows.dropDuplicates(["doc_id"]).collect()
+    """Train on labelled documents: at most ``max_docs``, and ``max_docs * max_chars``
+    characters, a class."""
+    marks = labels.select(F.col("doc_id").alias("_tm_id"), F.col("toxic").alias("_tm_toxic")).dropna()
+    marks = marks.filter(~held_out("_tm_id")).groupBy("_tm_id").agg((F.max("_tm_toxic") > 0).alias("_tm_toxic"))
+    # identifiers and numbers only: texts are fetched for the few that are picked
+    size, mark = F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)), F.xxhash64(text_bytes())
+    sized = docs.select("doc_id", size.alias("_size"), mark.alias("_mark")).join(marks, F.col("doc_id") == F.col("_tm_id"))
+    sized = sized.groupBy("_tm_id", "_tm_toxic").agg(F.min(F.struct((F.col("_size") > max_chars).alias("long"), "_size", "_mark")).alias("_t"))
+    sized = sized.select("_tm_id", "_tm_toxic", "_t.*", F.xxhash64(F.lit("fit"), "_tm_id").alias("_draw"))
+    sides = [sized.filter(side).orderBy("long", "_draw", "_tm_id").limit(max_docs) for side in (F.col("_tm_toxic"), ~F.col("_tm_toxic"))]
+    wanted, room = [], {True: max_docs * max_chars, False: max_docs * max_chars}
+    for r in sorted(sides[0].unionAll(sides[1]).collect(), key=lambda r: (r.long, r._draw, r._tm_id)):
+        if r._size <= room[r._tm_toxic]:
+            room[r._tm_toxic] -= r._size
+            wanted.append((r._tm_id, r._mark, int(r._tm_toxic)))
+    if not wanted:
+        return train([], [], **options)
+    # at most 2 * max_docs rows of three numbers
+    picked = docs.sparkSession.createDataFrame(wanted, schema_with(marks, ["_tm_id"], "_mark long, y int"))
+    texts = docs.select("doc_id", text_bytes().alias("b")).join(F.broadcast(picked), (F.col("doc_id") == F.col("_tm_id")) & (F.xxhash64("b") == F.col("_mark")))
+    rows = texts.dropDuplicates(["doc_id"]).select("doc_id", "b", "y").collect()
     rows.sort(key=lambda r: r.doc_id)
     return train([bytes(r.b) for r in rows], [r.y for r in rows], **options)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_tm_score``: 0 to 1, higher is more toxic."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = docs.columns
-    given = docs.select(*keep, text_bytes(text_col).alias("_tm_bytes"))
-
-    def run(batches):
-        m = shared.value
-        for batch in batches:
-            got = [m.score(tokens(v.as_py())) for v in batch.column("_tm_bytes")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(got, pa.float64())], [*keep, "_tm_score"])
-
-    return given.mapInArrow(run, schema_with(docs, keep, "_tm_score double"))
-
-
 def _score_only(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, held_out, _tm_score`` without carrying the texts back."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -372,6 +371,17 @@ def report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return scored.select("doc_id", "held_out", F.col("_tm_score").alias("score"), (F.col("_tm_score") >= 0.5).cast("int").alias("predicted"))
 
 
-def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
+def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_col: str = "text", **options) -> DataFrame:
     """``docs`` without those that score at least ``threshold``."""
-    return score(docs, fit(docs, labels, **options)).filter(F.col("_tm_score") < threshold).select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **options))
+    # columns go by place, so that names of any kind can't clash
+    place = docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))
+    given = place.withColumn("bytes", text_bytes(f"_{docs.columns.index(text_col)}"))
+
+    def run(batches):
+        m = shared.value
+        for batch in batches:
+            clean = [m.score(tokens(v.as_py())) < threshold for v in batch.column("bytes")]
+            yield batch.filter(pa.array(clean, pa.bool_())).drop_columns(["bytes"])
+
+    return given.mapInArrow(run, place.schema).toDF(*docs.columns)
