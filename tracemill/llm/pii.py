@@ -14,13 +14,19 @@ Only the counts of vote patterns reach the driver: at most kinds x 3**labelers x
 shapes rows, whatever the size of the corpus.
 
 Defined results: null and empty texts have no spans; an empty table gives a model
-that adds nothing; spans are [start, end) in code points of the whole text.
+that adds nothing; spans are [start, end) in code points of the whole text; repeated
+rows are each counted and reported; ties in probability go by start, then kind; null
+and repeated ids change nothing; columns of any name come back as they were; the work
+on a text grows in proportion to its candidates.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -118,6 +124,36 @@ def _candidates(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+class _Spans:
+    """Answers whether any of fixed spans overlaps [a, b)."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        spans = sorted(spans)
+        self.starts = [a for a, _ in spans]
+        self.reach = list(accumulate((b for _, b in spans), max))
+
+    def meets(self, a: int, b: int) -> bool:
+        before = bisect_left(self.starts, b)
+        return before > 0 and self.reach[before - 1] > a
+
+
+class _Taken:
+    """Spans that overlap none of each other, added in any order: cells of fixed width
+    list the spans that reach into them."""
+
+    WIDTH = 512
+
+    def __init__(self):
+        self.cells: dict[int, list[tuple[int, int]]] = {}
+
+    def meets(self, a: int, b: int) -> bool:
+        return any(x < b and a < y for cell in range(a // self.WIDTH, (b - 1) // self.WIDTH + 1) for x, y in self.cells.get(cell, ()))
+
+    def add(self, a: int, b: int) -> None:
+        for cell in range(a // self.WIDTH, (b - 1) // self.WIDTH + 1):
+            self.cells.setdefault(cell, []).append((a, b))
+
+
 def _context(text: str, kind: str, a: int, b: int) -> int:
     near = [w.lower() for w in _WORD.findall(text[max(0, a - 40) : a])[-4:]] + [w.lower() for w in _WORD.findall(text[b : b + 20])[:1]]
     if any(w in CONTEXT_AGAINST for w in near):
@@ -125,12 +161,11 @@ def _context(text: str, kind: str, a: int, b: int) -> int:
     return int(any(w in CONTEXT_FOR[kind] for w in near))
 
 
-def votes(text: str, kind: str, a: int, b: int, base: dict[str, list[tuple[int, int]]]) -> tuple[int, ...]:
+def votes(text: str, kind: str, a: int, b: int, base: dict[str, _Spans]) -> tuple[int, ...]:
     """One vote a labeler: 1 for, -1 against, 0 none."""
     s = text[a:b]
     d = _digits(s)
-    own = any(x < b and a < y for x, y in base[kind])
-    pattern = int(own)
+    pattern = int(base[kind].meets(a, b))
     if kind == "card":
         checksum = 1 if luhn(d) else -1
         gazetteer = 1 if d.startswith(CARD_PREFIXES) else -1
@@ -161,11 +196,12 @@ def gather(data: bytes) -> tuple[str, dict, list]:
         return "", {}, []
     text = data.decode(errors="replace")
     base = base_spans(text)
+    of = {k: _Spans(v) for k, v in base.items()}
     found = []
     for k, a, b in _candidates(text):
         # what a base span of another kind covers is settled
-        if not any(x < b and a < y for other in KINDS if other != k for x, y in base[other]):
-            found.append((k, a, b, votes(text, k, a, b, base)))
+        if not any(of[other].meets(a, b) for other in KINDS if other != k):
+            found.append((k, a, b, votes(text, k, a, b, of)))
     return text, base, found
 
 
@@ -269,12 +305,12 @@ def spans_of(data: bytes, model: Model, threshold: float = 0.5) -> tuple[str, di
     """(text, base spans, all spans by kind and start); text is empty where nothing is found."""
     text, base, found = gather(data)
     every = [(k, a, b) for k in KINDS for a, b in base.get(k, ())]
-    taken = sorted((a, b) for _, a, b in every)
+    settled, taken = _Spans((a, b) for _, a, b in every), _Taken()
     scored = sorted(((model.probability(k, v, a, b), k, a, b) for k, a, b, v in found), key=lambda x: (-x[0], x[2], KINDS.index(x[1])))
     for p, k, a, b in scored:
-        if p >= threshold and not any(x < b and a < y for x, y in taken):
+        if p >= threshold and not settled.meets(a, b) and not taken.meets(a, b):
             every.append((k, a, b))
-            taken.append((a, b))
+            taken.add(a, b)
     every.sort(key=lambda x: (KINDS.index(x[0]), x[1]))
     return text, base, every
 
@@ -313,24 +349,26 @@ def redact(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.5) -
     """``docs`` with each span replaced by ``<KIND>``; an ``n_chars`` column is brought
     up to date where the text changed.  Overlapping spans are replaced as one, named by the first."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, text_col))
-    columns = docs.columns
+    # columns go by place, so that names of any kind can't clash
+    place = [f"_{i}" for i in range(len(docs.columns))]
+    text, out = place[docs.columns.index(text_col)], docs.toDF(*place)
 
     @F.udf("string", useArrow=True)
     def masked(data):
-        text, _, every = spans_of(bytes(data), shared.value, threshold)
+        whole, _, every = spans_of(bytes(data), shared.value, threshold)
         if not every:
             return None
-        out, at = [], 0
+        parts, at = [], 0
         for k, a, b in sorted(every, key=lambda x: (x[1], -x[2])):
             if a >= at:
-                out += [text[at:a], f"<{k.upper()}>"]
+                parts += [whole[at:a], f"<{k.upper()}>"]
             at = max(at, b)
-        return "".join([*out, text[at:]])
-
-    out = docs.withColumn("_tm_new", masked(text_bytes(text_col)))
-    hit = F.col("_tm_new").isNotNull()
-    out = out.withColumn(text_col, F.when(hit, F.col("_tm_new")).otherwise(F.col(text_col)))
-    if "n_chars" in columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(hit, F.length(text_col).cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+        return "".join([*parts, whole[at:]])
+
+    out = out.withColumn("new", masked(text_bytes(text)))
+    hit = F.col("new").isNotNull()
+    out = out.withColumn(text, F.when(hit, F.col("new")).otherwise(F.col(text)))
+    if "n_chars" in docs.columns:
+        n, kind = place[docs.columns.index("n_chars")], docs.schema["n_chars"].dataType
+        out = out.withColumn(n, F.when(hit, F.length(text).cast(kind)).otherwise(F.col(n)))
+    return out.select(*place).toDF(*docs.columns)
