@@ -6,18 +6,23 @@ automaton over word identifiers.  Document words are streamed through it while
 the longest matching length is tracked; a position whose match is at least
 ``window`` words long lies at the end of a benchmark window.
 
-The automaton is built per chunk of at most ``max_chunk_words`` item words, so
-what is broadcast has a fixed bound; a larger benchmark is handled by further
-passes, each reading what the one before it wrote to the shared folder.
+An automaton is built per chunk of about ``max_chunk_words`` item words (a longer
+item is cut into parts that overlap by all but one of a window's words), so what is
+broadcast has a fixed bound.  With a benchmark of several chunks the texts are written
+once, numbered; each chunk then reads them and gives only the documents that it hits,
+whose spans are united by row at the end.
 
 Defined results: null and empty texts have no words and no hits; an item with
 fewer words than the window is one window as a whole; an item without words is
-never found; items with a null id mark words but are not listed; repeated ids
-are listed once; an empty table of documents or items gives no hits.
+never found; items with a null id mark words but are not listed; repeated ids of
+items are listed once, rows of documents are each judged by themselves, whatever
+their ids; an empty table of documents or items gives no hits; columns of any name
+come back as they were.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -160,18 +165,22 @@ class SuffixAutomaton:
 def _chunks(items: DataFrame, id_col: str, text_col: str, window: int, max_chunk_words: int) -> Iterator[SuffixAutomaton]:
     """Automata of consecutive items; one at a time is held on the driver."""
     rows = items.select(F.col(id_col).cast("string"), text_bytes(text_col)).distinct()
-    held, words = [], 0
+    most = max(max_chunk_words, window)
+    held, size = [], 0
     for item_id, data in rows.toLocalIterator():
-        n = len(words_of(bytes(data)))
-        if held and words + n > max_chunk_words:
-            yield SuffixAutomaton(held, window)
-            held, words = [], 0
-        held.append((item_id, bytes(data)))
-        words += n
+        words = words_of(bytes(data))
+        # parts share a window less one word, so that each window lies in a part
+        for i in range(0, max(1, len(words) - window + 1), most):
+            part = words[i : i + most + window - 1]
+            if held and size + len(part) > max_chunk_words:
+                yield SuffixAutomaton(held, window)
+                held, size = [], 0
+            held.append((item_id, b" ".join(part)))
+            size += len(part)
     yield SuffixAutomaton(held, window)
 
 
-_FOUND = "_tm_n_words long, _tm_spans array<long>, _tm_items array<string>"
+_FOUND = "n_words long, spans array<long>, items array<string>"
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -184,59 +193,71 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _scan(texts: DataFrame, automaton: SuffixAutomaton, keep: list[str], only_hits: bool) -> DataFrame:
+    """``keep`` columns with ``n_words, spans, items`` of the ``bytes`` of each row."""
+    shared = texts.sparkSession.sparkContext.broadcast(automaton)
+
+    def run(batches):
+        a = shared.value
+        for batch in batches:
+            n_words, spans, ids, at = [], [], [], []
+            for i, value in enumerate(batch.column("bytes")):
+                words = words_of(value.as_py())
+                s, found = a.scan(words)
+                if s or not only_hits:
+                    at.append(i)
+                    n_words.append(len(words))
+                    spans.append([x for pair in s for x in pair])
+                    ids.append(sorted(x for x in found if x is not None))
+            kept = batch.select(keep)
+            if len(at) < len(batch):
+                kept = kept.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*kept.columns, pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.string()))],
+                [*keep, "n_words", "spans", "items"],
+            )
+
+    return texts.select(*keep, "bytes").mapInArrow(run, schema_with(texts, keep, _FOUND))
+
+
 def find_spans(
     docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id",
     item_text_col: str = "text", window: int = 10, max_chunk_words: int = 200_000, keep_text: bool = True,
 ) -> DataFrame:
-    """``docs`` with ``_tm_n_words``, ``_tm_spans`` (flat [from, to) word positions
-    of merged hit spans) and ``_tm_items`` (ids of items found).
+    """The columns of ``docs`` by place, as ``_0, _1, ...``, with ``n_words``, ``spans`` (flat
+    [from, to) word positions of merged hit spans) and ``items`` (ids of items found).
 
-    ``keep_text=False`` drops the text column from the result.
+    ``keep_text=False`` leaves the text column out.
     """
-    sc = docs.sparkSession.sparkContext
-    out = docs
+    place = [f"_{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index(text_col)
+    keep = place if keep_text else place[:at] + place[at + 1 :]
+    texts = docs.toDF(*place).withColumn("bytes", text_bytes(place[at]))
     chunks = _chunks(items, item_id_col, item_text_col, window, max_chunk_words)
-    automaton = next(chunks)
-    first = True
+    automaton, following = next(chunks), next(chunks, None)
+    if following is None:
+        return _scan(texts, automaton, keep, only_hits=False)
+    # written once, so that a row has one number wherever it is read
+    rows = materialize(texts.withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = []
     while automaton is not None:
-        following = next(chunks, None)
-        if not first:
-            out = materialize(out, "spans")
-        shared = sc.broadcast(automaton)
-        rest = [c for c in out.columns if not c.startswith("_tm_")]
-        bring = rest if following is not None or keep_text else [c for c in rest if c != text_col]
-        carried = [] if first else ["_tm_n_words", "_tm_spans", "_tm_items"]
-        given = out.select(*bring, *carried, text_bytes(text_col).alias("_tm_bytes"))
-
-        def run(batches, shared=shared, bring=bring, first=first):
-            a = shared.value
-            for batch in batches:
-                n_words, spans, ids = [], [], []
-                old = zip(batch.column("_tm_spans"), batch.column("_tm_items"), strict=True) if not first else None
-                for value in batch.column("_tm_bytes"):
-                    words = words_of(value.as_py())
-                    s, found = a.scan(words)
-                    if old is not None:
-                        flat, had = next(old)
-                        flat = flat.as_py()
-                        s = _merge(s + list(zip(flat[0::2], flat[1::2], strict=True)))
-                        found = found | set(had.as_py())
-                    n_words.append(len(words))
-                    spans.append([x for pair in s for x in pair])
-                    ids.append(sorted(x for x in found if x is not None))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(c) for c in bring]
-                    + [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.string()))],
-                    [*bring, "_tm_n_words", "_tm_spans", "_tm_items"],
-                )
+        found.append(materialize(_scan(rows, automaton, ["row"], only_hits=True), "hits"))
+        automaton, following = following, next(chunks, None)
+    parts = functools.reduce(DataFrame.unionAll, found).groupBy("row").agg(F.collect_list("spans").alias("parts"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
-        out = given.mapInArrow(run, schema_with(given, bring, _FOUND))
-        automaton, first = following, False
-    return out
+    @F.udf("struct<n: long, spans: array<long>>", useArrow=True)
+    def united(data, parts):
+        spans = _merge([pair for flat in parts or () for pair in zip(flat[0::2], flat[1::2], strict=True)])
+        return len(words_of(bytes(data))), [x for pair in spans for x in pair]
 
+    out = rows.join(parts, "row", "left").withColumn("u", united("bytes", "parts"))
+    none = F.array().cast("array<string>")
+    return out.select(*keep, F.col("u.n").alias("n_words"), F.col("u.spans").alias("spans"), F.coalesce("items", none).alias("items"))
 
-def n_hit(spans: str = "_tm_spans"):
-    """Words inside flat [from, to) spans: the ends less the starts."""
+
+def n_hit(spans: str = "spans"):
+    """Words inside flat [from, to) spans."""
+    # x - a alternates signs: to_k - (from_k - (... )), which telescopes to the sum of lengths
     return F.expr(f"aggregate({spans}, 0L, (a, x) -> x - a)")
 
 
@@ -244,15 +265,10 @@ def report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """Contamination of each document: ``doc_id, n_words, n_hit, n_items,
     items_sha256, contaminated``."""
     found = find_spans(docs.select("doc_id", "text"), items, keep_text=False, **options)
-    # x - a alternates signs: to_k - (from_k - (... )), which telescopes to the sum of lengths
-    joined = F.array_join(F.array_sort("_tm_items"), ",")
+    joined = F.array_join(F.array_sort("items"), ",")
     return found.select(
-        "doc_id",
-        F.col("_tm_n_words").alias("n_words"),
-        n_hit().alias("n_hit"),
-        F.size("_tm_items").cast("long").alias("n_items"),
-        F.sha2(joined, 256).alias("items_sha256"),
-        (F.size("_tm_spans") > 0).alias("contaminated"),
+        F.col("_0").alias("doc_id"), "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(joined, 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
     )
 
 
@@ -291,21 +307,22 @@ def remove(
     which more than ``max_coverage`` of the words are hit goes altogether.  Other
     columns are kept; an ``n_chars`` column is brought up to date.
     """
-    columns = docs.columns
     found = find_spans(docs, items, text_col=text_col, window=window, **options)
-    found = found.filter(n_hit() <= F.lit(max_coverage) * F.col("_tm_n_words"))
+    found = found.filter(n_hit() <= F.lit(max_coverage) * F.col("n_words"))
+    place = [f"_{i}" for i in range(len(docs.columns))]
+    text = place[docs.columns.index(text_col)]
 
     @F.udf("string", useArrow=True)
     def cut(text, spans):
         return cut_spans(text, spans, min_span)[0] if text is not None and len(spans) else text
 
-    hit = F.size("_tm_spans") > 0
-    out = found.withColumn("_tm_new", cut(F.when(hit, F.col(text_col)), "_tm_spans"))
-    out = out.withColumn(text_col, F.when(hit, F.col("_tm_new")).otherwise(F.col(text_col)))
-    if "n_chars" in columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(hit, F.length(text_col).cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    hit = F.size("spans") > 0
+    out = found.withColumn("new", cut(F.when(hit, F.col(text)), "spans"))
+    out = out.withColumn(text, F.when(hit, F.col("new")).otherwise(F.col(text)))
+    if "n_chars" in docs.columns:
+        n, kind = place[docs.columns.index("n_chars")], docs.schema["n_chars"].dataType
+        out = out.withColumn(n, F.when(hit, F.length(text).cast(kind)).otherwise(F.col(n)))
+    return out.select(*place).toDF(*docs.columns)
 
 
 def items_digest(ids: Iterable[str]) -> str:
