@@ -7,14 +7,18 @@ source's token budget.  Whole epochs over a source precede the fractional draw,
 which takes the documents whose midpoint lies inside the remaining budget, so
 a source misses its target by at most half a document.
 
-The order within a source is never held by one task: keys are mapped through
-``1 - exp(-key)`` onto equal slots, slots are summed, and only the rows of one
-slot of one source are sorted together.  The table of sums has one row a source
-and slot; the water-filling of targets works on one row a source.
+The order within a source is never held by one task: keys are mapped through their own
+distribution (a mixture of exponentials, by the counts of weights) onto slots of equal
+share, slots are summed, and only the rows of one slot of one source are sorted together.
+So no slot of a source expects more than its share of all rows, whatever the weights, and
+the number of slots grows with the rows.  The table of sums has one row a source and slot;
+the water-filling of targets works on one row a source, in one task.
 
 Defined results: null texts have size 0; a null source is a source of its own,
 last in order; documents of size 0 are taken 0 words; a null or non-positive
-weight counts as 1; ties in key go by id; an empty table gives an empty result.
+weight counts as 1; the key is drawn from the id and a hash of the text, so rows with one
+id or none are drawn apart; ties in key go by id, size and place; an empty table gives an
+empty result; columns of the documents that are named like those of the result are replaced.
 """
 
 from __future__ import annotations
@@ -65,25 +69,40 @@ def targets(per_source: DataFrame, weights: Sequence[float] = SOURCE_WEIGHTS, sh
     return s.select("source", F.col("source_size").cast("long").alias("source_size"), target.alias("target"))
 
 
+def _slotted(base: DataFrame, slots: int, rows_per_slot: int) -> DataFrame:
+    """``base`` with ``_slot``, the place of its ``_key`` in the distribution of all keys.
+
+    Weights are counted in steps of a quarter of a power of two, of which there are 512 at
+    most; a key's place only has to rise with the key, so the steps cost no exactness."""
+    step = F.greatest(F.least(F.round(F.log2("_w") * 4), F.lit(255)), F.lit(-256)).cast("int")
+    counts = base.groupBy(step.alias("k")).count().collect()
+    n = max(1, sum(r["count"] for r in counts))
+    slots = max(slots, -(-n // rows_per_slot))
+    shares = F.array(*[F.struct(F.lit(r["count"] / n).alias("p"), F.lit(2.0 ** (r.k / 4)).alias("w")) for r in sorted(counts)] or [F.struct(F.lit(1.0).alias("p"), F.lit(1.0).alias("w"))])
+    place = F.aggregate(shares, F.lit(0.0), lambda t, x: t + x["p"] * (1.0 - F.exp(-x["w"] * F.col("_key"))))
+    return base.withColumn("_slot", F.least(F.floor(place * slots), F.lit(slots - 1)).cast("int"))
+
+
 def draw(
     docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", size: Column, weight: Column,
-    weights: Sequence[float] = SOURCE_WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 17, slots: int = 1024,
+    weights: Sequence[float] = SOURCE_WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 17, mark: Column | None = None,
+    slots: int = 1024, rows_per_slot: int = 100_000,
 ) -> DataFrame:
     """``_tm_row, id, source, size, source_size, target, epochs, taken`` of each row.
 
-    ``size`` and ``weight`` are columns over ``docs``; rows keep a ``_tm_row`` they have.  Sizes are computed once and
-    written to the shared folder; later steps read only identifiers and numbers.
+    ``size`` and ``weight`` are columns over ``docs``, ``mark`` tells rows of one id apart; rows
+    keep a ``_tm_row`` they have.  Sizes are computed once and written to the shared folder;
+    later steps read only identifiers and numbers.  There are at least ``slots`` slots.
     """
     w = F.when(weight.cast("double") > 0, weight.cast("double")).otherwise(F.lit(1.0))
     base = docs.select(
         F.col("_tm_row") if "_tm_row" in docs.columns else F.monotonically_increasing_id().alias("_tm_row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
-        size.cast("long").alias("size"), w.alias("_w"),
+        size.cast("long").alias("size"), w.alias("_w"), (F.lit(0) if mark is None else mark).cast("long").alias("_mark"),
     )
     # 53 bits of the hash, moved off 0 and 1
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("id").cast("string")), 11).cast("double") + 0.5) / F.lit(float(2**53))
-    base = base.withColumn("_key", -F.log(u) / F.col("_w"))
-    base = base.withColumn("_slot", F.floor((1.0 - F.exp(-F.col("_key"))) * F.lit(float(slots))).cast("int")).drop("_w")
-    base = materialize(base, "mix-keys")
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("id").cast("string"), F.col("_mark")), 11).cast("double") + 0.5) / F.lit(float(2**53))
+    base = materialize(base.withColumn("_key", -F.log(u) / F.col("_w")), "mix-keys")
+    base = _slotted(base, slots, rows_per_slot)
     per_slot = base.groupBy("source", "_slot").agg(F.sum("size").alias("_slot_size"))
     goal = targets(per_slot.groupBy("source").agg(F.sum("_slot_size").alias("source_size")), weights, share, cap)
     before = W.partitionBy("source").orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
@@ -91,7 +110,7 @@ def draw(
     starts = starts.alias("a").join(goal.alias("g"), F.col("a.source").eqNullSafe(F.col("g.source")))
     starts = starts.select(F.col("a.source").alias("_source"), F.col("a._slot").alias("_of_slot"), "_start", "source_size", "target")
     rows = base.join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_slot") == F.col("_of_slot")))
-    within = W.partitionBy("source", "_slot").orderBy("_key", F.col("id").asc_nulls_last(), "size", "_tm_row").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("source", "_slot").orderBy("_key", F.col("id").asc_nulls_last(), "size", "_mark", "_tm_row").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("_before", F.col("_start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rows = rows.withColumn("epochs", epochs)
@@ -109,20 +128,22 @@ def with_quality(docs: DataFrame, labels: DataFrame, good: float = 2.0, poor: fl
     return out.withColumn("_tm_quality", F.when(F.col("_tm_q") > 0, good).when(F.col("_tm_q") <= 0, poor).otherwise(1.0)).drop("_tm_id", "_tm_q")
 
 
+def _drawn(docs: DataFrame, labels: DataFrame, *keep: str) -> DataFrame:
+    sized = docs.select(*keep, "doc_id", "source", word_count("text").alias("_tm_size"), F.xxhash64("text").alias("_tm_mark"))
+    return draw(with_quality(sized, labels), size=F.col("_tm_size"), weight=F.col("_tm_quality"), mark=F.col("_tm_mark"))
+
+
 def mix(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, size, source_size, target, taken, source, copies`` of every document."""
-    sized = docs.select("doc_id", "source", word_count("text").alias("_tm_size"))
-    drawn = draw(with_quality(sized, labels), size=F.col("_tm_size"), weight=F.col("_tm_quality"))
-    return drawn.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "copies")
+    return _drawn(docs, labels).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "copies")
 
 
 def mixed(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The mix itself: ``docs`` with a row for each copy that is taken, and ``size, source_size,
     target, taken, copies`` of the document and the number ``copy``, from 1, of the row."""
+    made = ["size", "source_size", "target", "taken", "copies"]
     # written once, so that a row has one number wherever it is read
-    rows = materialize(docs.withColumn("_tm_row", F.monotonically_increasing_id()), "mix-rows")
-    sized = rows.select("_tm_row", "doc_id", "source", word_count("text").alias("_tm_size"))
-    drawn = draw(with_quality(sized, labels), size=F.col("_tm_size"), weight=F.col("_tm_quality"))
-    taken = drawn.filter("copies > 0").select("_tm_row", "size", "source_size", "target", "taken", "copies")
+    rows = materialize(docs.drop(*made, "copy").withColumn("_tm_row", F.monotonically_increasing_id()), "mix-rows")
+    taken = _drawn(rows, labels, "_tm_row").filter("copies > 0").select("_tm_row", *made)
     out = rows.join(taken, "_tm_row").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return out.drop("_tm_row")
