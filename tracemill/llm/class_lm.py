@@ -12,13 +12,15 @@ transition between classes times its emission from its class, with absolute
 discounting that leaves mass for words never seen.
 
 What is broadcast is bounded: a matrix of class transitions, and the counts and classes
-of at most ``n_head`` common words.  The other words of each document are joined with
+of at most ``n_head`` common words of at most ``max_bytes`` bytes.  The other words of each document are joined with
 the table of counts and classes; common words, being broadcast, cannot make that join
 uneven.
 
 Defined results: null and empty texts have one token, the end; a null id counts as
 the empty text where the held-out rows are chosen; without training tokens the
-score is the base score.
+score is the base score; repeated rows are each counted and scored; words of any
+length are counted whole; ties between classes go to the lower number; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -337,6 +339,7 @@ def train(texts: DataFrame, counts: DataFrame, **options) -> Model:
 
 def _fit(
     texts: DataFrame, counts: DataFrame, *, n_words: int = 512, n_groups: int = 512, n_classes: int = 48, n_head: int = 262_144, pull: float = 20.0, rounds: int = 2, trust: float = 4.0,
+    max_bytes: int = 128,
 ) -> tuple[Model, DataFrame]:
     """The model fitted on the ``texts`` that are not ``held_out``, whose words are counted
     in ``counts``, and all texts placed in classes (:func:`_place`).
@@ -355,7 +358,8 @@ def _fit(
         if r.v > room:
             break
         least, room = r.band, room - r.v
-    is_common = (F.floor(F.log2("c") * 8) >= least if least is not None else F.lit(False)) | (F.col("word") == F.lit(END))
+    # a word of many bytes is never broadcast: it is joined like the others
+    is_common = (F.floor(F.log2("c") * 8) >= least if least is not None else F.lit(False)) & (F.octet_length("word") <= max_bytes) | (F.col("word") == F.lit(END))
     got = counts.filter(is_common).toArrow()
     head = sorted(((c, bytes(w)) for w, c in zip(got.column("word").to_pylist(), got.column("c").to_pylist(), strict=True)), key=lambda x: (-x[0], x[1]))
     if not any(w == END for _, w in head):
