@@ -68,6 +68,33 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0), labels).count() == 0
 
 
+def test_slots_are_even_and_the_draw_is_that_of_sorted_keys(spark):
+    n = 60_000
+    docs = spark.range(n).selectExpr("id as doc_id", "if(id % 3 = 0, null, id) as id", "cast(id % 2 as string) as source", "1 + id % 50 as n", "case id % 4 when 0 then 0.5 when 1 then 2.0 when 2 then 1.0 end as w", "id as mark")
+    got = mixing.draw(docs, size=F.col("n"), weight=F.col("w"), mark=F.col("mark"), share=0.7, slots=200, rows_per_slot=200)
+    base = spark.range(100_000).selectExpr("-ln((id + 0.5) / 100000) / 0.5 as _key", "0.5D as _w").unionAll(spark.range(100_000).selectExpr("-ln((id + 0.5) / 100000) / 2 as _key", "2D as _w"))
+    sizes = [r["count"] for r in mixing._slotted(base, 100, 1000).groupBy("_slot").count().collect()]
+    assert len(sizes) == 200 and max(sizes) < 1100
+    rows = got.join(docs.select(F.col("doc_id").alias("id"), "w", "mark"), "id").collect()
+    key = {r.id: r._key for r in docs.select("doc_id", F.xxhash64(F.lit(17), F.col("doc_id").cast("string"), "mark").alias("h"), "w").selectExpr("doc_id as id", "-ln((cast(shiftrightunsigned(h, 11) as double) + 0.5) / pow(2D, 53)) / coalesce(w, 1D) as _key").collect()}
+    for s in ("0", "1"):
+        own = sorted((r for r in rows if r.source == s), key=lambda r: (key[r.id], r.id))
+        epochs, before = own[0].target // own[0].source_size, 0
+        left = own[0].target - epochs * own[0].source_size
+        for r in own:
+            assert r.copies == epochs + int(before + r.size / 2 < left)
+            before += r.size
+
+
+def test_mix_of_rows_without_ids(spark):
+    docs = docs_of(spark, [(None if i % 3 else 5, f"{i} " * (1 + i % 5), "s") for i in range(3000)]).withColumns({"copies": F.lit("clash"), "size": F.lit("clash")})
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = mixing.mix(docs, labels).collect()
+    assert len(rows) == 3000 and {r.copies for r in rows} == {1, 2}
+    out = mixing.mixed(docs, labels)
+    assert out.count() == sum(r.copies for r in rows) and out.filter("size = copies").count() > 0
+
+
 def test_mixed_documents(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = [(i, f"w{i} " * (i % 7 + 1), f"s{i % 3}") for i in range(90)] + [(None, "no id", "s0"), (5, "a b", "s1"), (5, "a b", "s1"), (91, "", "s2")]
@@ -203,6 +230,24 @@ def test_toxicity_of_the_tables(spark):
     assert toxicity.reject(docs.limit(0), labels, max_docs=50).count() == 0
 
 
+def test_long_labelled_texts_and_repeated_ids(spark):
+    rng = random.Random(8)
+    text = lambda bad: " ".join(rng.choice(["zorgblat", "quibnix"]) if bad and rng.random() < 0.02 else f"word{rng.randint(0, 300)}" for _ in range(3000))
+    rows = [(i, text(i % 2), "s") for i in range(60)]
+    docs, labels = docs_of(spark, rows), spark.createDataFrame([(i, 0, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    assert min(len(t) for _, t, _ in rows) > 20_000
+    score = {r.doc_id: r.score for r in toxicity.report(docs, labels).collect()}
+    assert np.mean([score[i] for i in range(1, 60, 2)]) > np.mean([score[i] for i in range(0, 60, 2)]) + 0.3
+    # the order of rows with one id makes no difference, and columns of any name come back
+    odd = docs.unionByName(docs_of(spark, [(i, f"other {i}", "s") for i in range(60)] + [(None, "", "s"), (None, None, "s")])).withColumns({"bytes": F.lit(1), "_1": F.lit(2)})
+    a, b = (Counter(map(tuple, toxicity.report(odd.repartition(n), labels).collect())) for n in (2, 5))
+    assert a == b
+    kept = toxicity.reject(odd, labels)
+    assert kept.columns == odd.columns and kept.count() == sum(n for r, n in a.items() if r[2] < 0.5)
+    empty = docs_of(spark, [(i, " ", "s") for i in range(60)])
+    assert {r.score for r in toxicity.report(empty, labels).collect()} == {0.0}
+
+
 # ------------------------------------------------------------ fingerprints
 
 

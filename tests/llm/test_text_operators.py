@@ -3,6 +3,7 @@
 import json
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,6 +60,18 @@ def test_report_of_odd_texts(spark):
     assert chunked == got
 
 
+def test_long_items_in_parts_and_repeated_rows(spark):
+    words = [f"w{i % 97}x{i % 89}" for i in range(400)]
+    docs = docs_of(spark, [" ".join(words[i : i + 9 + i % 4]) for i in range(0, 380, 7)] + ["q " + " ".join(words) + " q"] * 2 + [None])
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") < 20, F.col("doc_id")).otherwise(7)).withColumn("spans", F.lit("clash"))
+    items = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[100:130]))], "item_id long, text string")
+    whole, parts = (Counter(map(tuple, decontaminate.report(docs, items, max_chunk_words=n).collect())) for n in (1000, 13))
+    assert whole == parts and sum(whole.values()) == docs.count()
+    odd = docs.withColumns({"_tm_x": F.lit(1), "row": F.lit(2), "_3": F.lit(3)})
+    a, b = (decontaminate.remove(odd, items, max_chunk_words=n) for n in (1000, 13))
+    assert a.columns == odd.columns and Counter(map(tuple, a.collect())) == Counter(map(tuple, b.collect()))
+
+
 def test_empty_tables_and_removal(spark):
     items = spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id long, text string")
     none = items.limit(0)
@@ -97,9 +110,17 @@ def test_urls(spark):
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(df).collect()}
     assert [got[i] for i in range(len(cases))] == list(cases.values())
     assert url_filter.judge(df.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "http://a.org/" + "x" * 500_000 + "/porn"), (1, "http://a.org/" + "x/" * 100_000)], "page_id long, url string")
+    assert sorted(r.verdict for r in url_filter.judge(long.union(long)).collect()) == ["allow", "allow", "block", "block"]
     assert {r.verdict for r in url_filter.judge(df, rules=()).collect()} == {"allow", "block"}
 
 
+def test_longest_terms_and_weights():
+    v = url_filter.Vocabulary(["bad"], {"a": 1.0, "a-b": 2.5, "b": 1.0, "c": 0.5, "b-bad-c": 1.0})
+    assert v.count("x/a-b/c") == (0, {"a-b": 2.5, "c": 0.5}) and v.count("a/b/a-b") == (0, {"a": 1.0, "b": 1.0, "a-b": 2.5})
+    assert v.count("b-bad-c") == (0, {"b-bad-c": 1.0}) and v.count("b.bad.BAD.cc") == (2, {"b": 1.0}) and v.count("") == v.count(None) == (0, {})
+
+
 # ------------------------------------------------------------ HTML
 
 
@@ -159,7 +180,7 @@ def test_linking_order_and_validation(spark):
         CALLS,
     )
     results = spark.createDataFrame([(1, "c1", 2, "ü\n"), (1, "c1", 8, "later"), (1, "c9", 2, "orphan"), (2, "c2", 1, None)], RESULTS)
-    rows = chat.link(calls, results, schema, max_depth=6).collect()
+    rows = chat.link(calls, results, schema).collect()
     one = sorted((r for r in rows if r.conv_id == 1), key=lambda r: (r.ready, r.wait, r.seq))
     assert [r.call_id for r in one] == ["c3", "c1", "c2", "c4", "c5", "c6"] and all(r.ordered for r in one)
     by = {(r.conv_id, r.call_id): r for r in rows}
@@ -171,6 +192,46 @@ def test_linking_order_and_validation(spark):
     assert by[1, "c1"].record == '{"arguments":{"a":1},"id":"c1","name":"add","result":"ü\\n"}' and by[1, "c1"].linked
     assert not by[1, "c2"].linked and by[2, "c2"].linked and not by[2, "c1"].ordered and not by[2, "c2"].ordered and by[2, "c9"].ordered
     assert chat.link(calls.limit(0), results, schema).count() == 0
+    assert {r.linked for r in chat.link(calls.withColumn("ready", F.lit("clash")), results.limit(0), schema).collect()} == {False}
+
+
+def plain_order(calls):
+    """ready, wait, ordered of (id, seq, needs) by relaxation; what a cycle feeds is not ordered."""
+    seq = {i: s for i, s, _ in calls}
+    needs = {i: {d for d in ds if d in seq} for i, _, ds in calls}
+    done, left = {}, set(seq)
+    while free := {i for i in left if needs[i] <= done.keys()}:
+        for i in free:
+            done[i] = max([(seq[i], 0), *((done[d][0], done[d][1] + 1) for d in needs[i])])
+        left -= free
+    return {i: (*done[i], True) if i in done else (seq[i], 0, False) for i in seq}
+
+
+def test_order_against_brute_force(spark):
+    rng = random.Random(6)
+    rows, want = [], {}
+    for conv in range(25):
+        n = rng.randint(1, 14)
+        calls = [(f"c{i}", rng.randint(1, n), [f"c{j}" for j in rng.sample(range(n + 1), min(n, rng.choice((0, 0, 1, 1, 2)))) if conv % 3 or j > i]) for i in range(n)]
+        rows += [(conv, i, s, "t", "{}", d) for i, s, d in calls]
+        want |= {(conv, i): v for i, v in plain_order(calls).items()}
+    # a log in reverse order
+    chain = [(f"c{i}", i, [f"c{i + 1}"]) for i in range(150)]
+    rows += [(99, i, s, "t", "{}", d) for i, s, d in chain]
+    want |= {(99, i): v for i, v in plain_order(chain).items()}
+    got = chat._ordered(spark.createDataFrame(rows, CALLS)).collect()
+    assert {(r.conv_id, r.call_id): (r.ready, r.wait, r.ordered) for r in got} == want
+    assert {r.ordered for r in got} == {True, False}
+
+
+def test_odd_arguments(spark):
+    deep, long = "[" * 101 + "]" * 101, json.dumps({"a": "é " * 100_000}, ensure_ascii=False)
+    texts = ['{"a":"\\ud800"}', '{"a":NaN}', '{"a":1e999}', f'{{"a":{deep}}}', '{"a":[1.0,1e21,-0.0,1.5e-5,1e-7,"[[["]}', long, "", '{"a":1,"a":2}', "{" * 50_000]
+    calls = spark.createDataFrame([(1, f"c{i}", i, "t", t, None) for i, t in enumerate(texts)], CALLS)
+    got = {r.seq: r for r in chat.link(calls, spark.createDataFrame([], RESULTS), {"t": {}}).collect()}
+    assert [got[i].error for i in range(len(texts))] == [None, "not JSON", "not JSON", "not JSON", None, None, "not JSON", None, "not JSON"]
+    assert '{"a":"\\ud800"}' in got[0].record and '{"a":[1,1e+21,0,0.000015,1e-7,"[[["]}' in got[4].record and '{"a":2}' in got[7].record
+    assert all(json.loads(r.record)["id"] == r.call_id for r in got.values()) and json.loads(got[5].record)["arguments"] == json.loads(long)
 
 
 def test_canonical_is_stable():
@@ -216,6 +277,42 @@ def test_pii_report_and_redaction(spark):
     masked = {r.doc_id: r for r in pii.redact(docs).collect()}
     assert masked[2].text == "mail <EMAIL> now" and masked[2].n_chars == 16 and masked[0].text is None and masked[6].text == texts[6]
     assert pii.report(docs.limit(0)).count() == 0
+    odd = docs.withColumns({"_1": F.lit(1), "new": F.lit(2)}).withColumn("doc_id", F.lit(None).cast("long"))
+    assert pii.redact(odd).columns == odd.columns and Counter(r.text for r in pii.redact(odd.union(odd)).collect()) == Counter([m.text for m in masked.values()] * 2)
+
+
+def test_work_on_a_text_grows_with_its_spans():
+    import time
+
+    model = pii.Model({k: [5.0] + [0.0] * 15 + [3.0] for k in pii.KINDS}, {})
+    model.weights = {k: pii.np.array(w + [0.0] * (len(pii._row((0,) * 6, 0)) - len(w))) for k, w in model.weights.items()}
+
+    def took(n):
+        text = " ".join(f"user{i}@host{i}.com 192.168.{i % 256}.7 visit a{i} (at) b.org call 555-{i:04d}-1234" for i in range(n)).encode()
+        begun = time.process_time()
+        _, _, every = pii.spans_of(text, model)
+        assert len(every) > 2 * n
+        return time.process_time() - begun
+
+    took(100)
+    assert took(8000) < 30 * took(800)
+
+
+def test_added_spans_overlap_nothing():
+    rng = random.Random(3)
+    for _ in range(300):
+        spans, taken, held = [], pii._Taken(), []
+        for _ in range(60):
+            a = rng.randint(0, 3000)
+            b = a + rng.randint(1, 700)
+            meets = any(x < b and a < y for x, y in held)
+            assert taken.meets(a, b) == meets
+            if not meets:
+                taken.add(a, b)
+                held.append((a, b))
+            spans.append((a, b))
+        fixed = pii._Spans(spans[:10])
+        assert all(fixed.meets(a, b) == any(x < b and a < y for x, y in spans[:10]) for a, b in spans)
 
 
 def test_em_finds_the_good_labelers():
