@@ -134,6 +134,13 @@ def test_longest_terms_and_weights():
         ("<div hidden>x</div><p style='display: NONE'>y</p><span style='visibility:hidden'>z<b style='visibility:visible'>w</b></span>", "w"),
         ("<head><title>t</title></head><body>b", "b"), ("1 < 2 <b>x</b", "1 < 2 x"), ("<a title='a>b'>x</a>", "x"), ("<dl><dt>k<dd>v</dl>", "k\n  v"), ("<b><p>x</b>y", "xy"),
         ("<select><option>a<option>b</select>", "a\nb"), ("<blockquote>q</blockquote>", "  q"), ("<a href=\"x>y", "y"), ("</p>x</div>", "x"),
+        ("<table><tr><td rowspan=2>A<td>b<tr><td>c</table>", "A | b\n  | c"), ("<p STYLE='VISIBILITY:hidden'>x<i style='Visibility : Visible'>y", "y"),
+        ("<table><tr><td>a<td rowspan=0>bb<td>c<tr><td>d<td>e<tr><td>f<td>g</table>", "a | bb | c\nd |    | e\nf |    | g".replace(" |    | ", "      | ")),
+        ("<table><tbody><tr><td rowspan=9>a<td>b<tbody><tr><td>c</table>", "a | b\nc"), ("<table><tr><td>a<br>b<td>c<br>d</table>", "a | c\nb | d"),
+        ("<table><tr><td>x<table><tr><td>1<td>2</table><td>y</table>", "x\n\n1 | 2\n\ny"), ("<table><tr><td><td>b</table>", " | b"),
+        ("<ul><li><p>a</p><p>b</p><li></ul>c", "- a\n\n  b\n\nc"), ("<blockquote><ul><li>x<pre>  y\n z</pre></ul></blockquote>", "  - x\n      y\n     z"),
+        ("<div><div hidden>" + "<div>" * 200 + "</div>" * 200 + "secret</div>seen</div>", "seen"),
+        ("<div>" * 130 + "<table><tr><td>a<td>bbb<tr><td>cc<td>d</table>", "a  | bbb\ncc | d"),
     ],
 )
 def test_html(html, text):
@@ -145,6 +152,12 @@ def test_html_deep_long_and_table(spark):
     assert html_text.render(deep) == "core"
     assert len(html_text.render("<p>" + "word " * 100_000)) == 499_999
     assert html_text.render("<ul><li>" * 3000 + "x").strip("- ") == "x"
+    for page in (
+        "<table><tr><td>" + "w" * 24_000 + "".join(f"<tr><td>{i}<td>b" for i in range(2000)) + "</table>", "<ul><li>a" * 5000, "<table><tr><td>a" * 3000,
+        "<table><tr>" + "<td rowspan=9999>a" * 2000 + "<tr><td>x" * 2000, "<table><tr>" + "<td colspan=999>a" * 2500, "<blockquote>a" * 4000,
+        "<table><tr>" + "<td>a" * 4000 + "<td>" + "<br>b" * 4000, "<b>" * 8000 + "<div>" * 4000 + "</b>" * 8000, "<span>" * 9000 + "</i>" * 9000, "<pre>" * 4000 + "\n" * 20_000 + "x",
+    ):
+        assert len(html_text.render(page)) < 40 * len(page)
     df = spark.createDataFrame([(1, "<p>x", "clash"), (2, None, "clash")], "page_id long, html string, text string")
     assert {r.page_id: r.text for r in html_text.extract(df).collect()} == {1: "x", 2: ""}
     assert html_text.extract(df.limit(0)).count() == 0

@@ -4,18 +4,26 @@ A tokenizer feeds a tree builder that closes implied tags (a paragraph before a
 block, a list item before the next one, cells and rows), and a renderer walks the
 tree: hidden elements give nothing, every other text is emitted once, blocks are
 set apart (a blank line around paragraphs, headings, lists and tables), list items
-are marked and indented, preformatted text is kept, and table cells are padded so
-that columns align.
+are marked and indented, preformatted text is kept, and table cells, spanning ones too,
+stand in columns.  A table that holds another is taken as layout: its cells follow one
+another as blocks.
+
+Parsing and rendering keep their own stacks, so elements nest to any depth, and take
+time in proportion to the page.  Layout may add to a line no more than ``MAX_INDENT``
+characters of indent and ``MAX_PAD`` before a cell (cells wider than ``MAX_WIDTH`` don't
+widen their column), so a text is never many times its page; no text is lost to that.
 
 Defined results: null and empty pages give an empty text; unclosed comments, tags
-and raw elements reach to the end of the page; elements nested deeper than
-``MAX_DEPTH`` are laid side by side, so no page overflows the stack and no text is lost.
+and raw elements reach to the end of the page; repeated rows are each rendered; an
+empty table of pages gives an empty result; a column named like the result is replaced.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tracemill.llm.common import schema_with
 
-MAX_DEPTH = 120
+MAX_INDENT, MAX_WIDTH, MAX_PAD = 64, 60, 240
 
 # Fixed sets of HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,11 +63,91 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 _QUOTE_OR_END = re.compile(r"""["'>]""")
 
 
+_CELL = frozenset({"td", "th", "caption"})
+_TABLE_PART = frozenset("table tr tbody thead tfoot td th caption body html".split())
+_STOPS_P = frozenset("table td th button caption".split())
+
+
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "layout")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None):
         self.tag, self.attrs, self.children = tag, attrs or {}, []
+        self.layout = False  # a table that holds a table
+
+
+class _Open:
+    """Open elements, root first, and where those of each name are.
+
+    What is open is asked by name, so no end tag walks the whole stack.  An element
+    taken out from the middle leaves a gap (None); only formatting ones are."""
+
+    def __init__(self, root: Node):
+        self.stack: list[Node | None] = [root]
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    @property
+    def top(self) -> Node:
+        return self.stack[-1]
+
+    def last(self, tag: str) -> int:
+        found = self.at.get(tag)
+        return found[-1] if found else 0
+
+    def push(self, node: Node) -> None:
+        if node.tag == "table" and (outer := self.last("table")):
+            self.stack[outer].layout = True
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCK or node.tag in SPACED:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, i: int) -> None:
+        """Close the element at ``i`` and all above it."""
+        while len(self.stack) > i or self.stack[-1] is None:
+            node = self.stack.pop()
+            if node is not None:
+                self.at[node.tag].pop()
+                if node.tag in BLOCK or node.tag in SPACED:
+                    self.blocks.pop()
+
+    def take(self, i: int) -> None:
+        """Close the last element of its name, at ``i``, and leave those above it open."""
+        self.at[self.stack[i].tag].pop()
+        self.stack[i] = None
+
+    def imply(self, tag: str) -> None:
+        """Close what a start tag ends."""
+        if tag in CLOSES_P:
+            p = self.last("p")
+            if p > max(map(self.last, _STOPS_P)):
+                self.cut(p)
+        if tag in IMPLIED:
+            closes, scope = IMPLIED[tag]
+            limit = max(map(self.last, scope), default=0)
+            first = [found[i] for x in closes if (found := self.at.get(x)) and (i := bisect_right(found, limit)) < len(found)]
+            if first:
+                self.cut(min(first))
+
+    def close(self, tag: str) -> None:
+        i = self.last(tag)
+        if not i:
+            if tag == "p":
+                self.top.children.append(Node("p"))
+            return
+        block = tag in BLOCK or tag in SPACED
+        crossed = bool(self.blocks) and self.blocks[-1] > i
+        if crossed and not block and tag not in FORMATTING:
+            return
+        # a cell keeps what is closed inside it from closing what is around the table
+        if tag not in _TABLE_PART and max(map(self.last, _CELL)) > i:
+            return
+        if crossed and not block:
+            # blocks opened inside a formatting element outlive it
+            self.take(i)
+        else:
+            self.cut(i)
 
 
 def _tag_end(html: str, at: int, missing: set[str]) -> int:
@@ -80,7 +168,7 @@ def _tag_end(html: str, at: int, missing: set[str]) -> int:
 
 def parse(html: str) -> Node:
     root = Node("#root")
-    stack = [root]
+    stack = _Open(root)
     at, n = 0, len(html)
     missing: set[str] = set()
     lower = None
@@ -89,7 +177,7 @@ def parse(html: str) -> Node:
         if lt < 0:
             lt = n
         if lt > at:
-            stack[-1].children.append(html[at:lt])
+            stack.top.children.append(html[at:lt])
             at = lt
             continue
         if html.startswith("<!--", at):
@@ -107,7 +195,7 @@ def parse(html: str) -> Node:
                 end = html.find(">", at)
                 at = n if end < 0 else end + 1
             else:
-                stack[-1].children.append("<")
+                stack.top.children.append("<")
                 at += 1
             continue
         end = _tag_end(html, m.end(), missing)
@@ -115,12 +203,12 @@ def parse(html: str) -> Node:
         rest = html[m.end() : n if end < 0 else end]
         at = n if end < 0 else end + 1
         if closing:
-            _close(stack, tag)
+            stack.close(tag)
             continue
         attrs = {a[1].lower(): unescape(a[2] or a[3] or a[4] or "") for a in reversed(list(_ATTR.finditer(rest)))} if rest.strip(" /\n\t") else {}
-        _imply(stack, tag)
+        stack.imply(tag)
         node = Node(tag, attrs)
-        stack[-1].children.append(node)
+        stack.top.children.append(node)
         if tag in VOID:
             continue
         if tag in RAW:
@@ -133,54 +221,10 @@ def parse(html: str) -> Node:
             end = html.find(">", stop)
             at = n if end < 0 else end + 1
             continue
-        if len(stack) < MAX_DEPTH:
-            stack.append(node)
+        stack.push(node)
     return root
 
 
-def _imply(stack: list[Node], tag: str) -> None:
-    if tag in CLOSES_P:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == "p":
-                del stack[i:]
-                break
-            if stack[i].tag in ("table", "td", "th", "button", "caption"):
-                break
-    if tag in IMPLIED:
-        closes, scope = IMPLIED[tag]
-        cut = None
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in scope:
-                break
-            if stack[i].tag in closes:
-                cut = i
-        if cut is not None:
-            del stack[cut:]
-
-
-def _close(stack: list[Node], tag: str) -> None:
-    if tag == "p" and not any(x.tag == "p" for x in stack):
-        stack[-1].children.append(Node("p"))
-        return
-    block = tag in BLOCK or tag in SPACED
-    crossed = False
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag == tag:
-            if crossed and not block:
-                # blocks opened inside a formatting element outlive it
-                del stack[i]
-            else:
-                del stack[i:]
-            return
-        if stack[i].tag in BLOCK or stack[i].tag in SPACED:
-            if not block and tag not in FORMATTING:
-                return
-            crossed = True
-        # a cell keeps what is closed inside it from closing what is around the table
-        if stack[i].tag in ("td", "th", "caption") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "caption", "body", "html"):
-            return
-
-
 def _hidden(node: Node) -> bool:
     a = node.attrs
     if node.tag in HIDDEN or "hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden") or (node.tag == "dialog" and "open" not in a):
@@ -189,138 +233,197 @@ def _hidden(node: Node) -> bool:
 
 
 class _Out:
-    """Lines of text with collapsed spaces; breaks are pending until text follows."""
+    """Lines of text with collapsed spaces; breaks are pending until text follows.
+
+    Containers (list items, quotes) indent what is inside them; the mark of an item stands
+    before its first line.  Breaks at the very begin or end of a container add nothing."""
 
     def __init__(self):
         self.lines: list[str] = []
         self.line: list[str] = []
-        self.space = False
+        self.space = self.fresh = self.pre = False
         self.gap = 0
+        self.indent = ""
+        self.mark: str | None = None
+        self.blank: list[str] = []  # blank lines of preformatted text, kept if text follows
+
+    def _put(self, s: str) -> None:
+        if self.gap and self.lines:
+            self.lines += [""] * (self.gap - 1)
+        self.gap = 0
+        if self.blank:
+            if not self.fresh:
+                self.lines += self.blank
+            self.blank = []
+        self.lines.append((self.indent if self.mark is None else self.mark) + s)
+        self.mark, self.fresh = None, False
+
+    def _end(self) -> None:
+        if self.line:
+            s = "".join(self.line)
+            self.line = []
+            if self.pre and not s.strip():
+                self.blank.append(s)
+            else:
+                self._put(s)
 
     def text(self, s: str) -> None:
+        if self.pre:
+            parts = s.replace("\r\n", "\n").split("\n")
+            for i, part in enumerate(parts):
+                if i:
+                    if self.line:
+                        self._end()
+                    else:
+                        self.blank.append("")
+                if part:
+                    self.line.append(part)
+            return
         s = _SPACE.sub(" ", s)
         if not s:
             return
         if s == " ":
             self.space = True
             return
-        if s[0] == " ":
-            self.space = True
-        if self.line:
-            if self.space:
-                self.line.append(" ")
-        elif self.gap and self.lines:
-            self.lines += [""] * (self.gap - 1)
-        self.gap = 0
+        if self.line and (self.space or s[0] == " "):
+            self.line.append(" ")
         self.line.append(s.strip(" "))
         self.space = s[-1] == " "
 
     def brk(self, n: int = 1) -> None:
-        if self.line:
-            self.lines.append("".join(self.line))
-            self.line = []
+        self._end()
         self.space = False
-        self.gap = max(self.gap, n)
+        if not self.fresh:
+            self.gap = max(self.gap, n)
 
     def hard(self) -> None:
         if self.line:
-            self.lines.append("".join(self.line))
-            self.line = []
+            self._end()
             self.gap = max(self.gap, 1)
-        elif self.lines:
+        elif self.lines and not self.fresh:
             self.gap = min(2, self.gap + 1)
         self.space = False
 
-    def block(self, lines: list[str], gap: int) -> None:
-        if not lines:
-            return
+    def enter(self, gap: int, mark: str, pad: str) -> tuple:
+        """Open a container whose first line begins with ``mark``, the others with ``pad``."""
         self.brk(gap)
-        if self.lines:
-            self.lines += [""] * (self.gap - 1)
-        self.lines += lines
-        self.gap = gap
+        before = (self.indent, self.mark, self.fresh, len(self.lines), gap)
+        if len(self.indent) < MAX_INDENT:
+            if mark:
+                self.mark = (self.indent if self.mark is None else self.mark) + mark if len(self.mark or "") < MAX_INDENT else self.mark
+            elif self.mark is not None:
+                self.mark += pad
+            self.indent += pad
+        self.fresh = True
+        return before
+
+    def leave(self, before: tuple) -> None:
+        self._end()
+        self.space = False
+        self.indent, mark, fresh, n, gap = before
+        if len(self.lines) > n:
+            self.gap, self.mark, self.fresh = gap, None, False
+        else:
+            self.mark, self.fresh = mark, fresh
+
+    def block(self, lines: list[str], gap: int) -> None:
+        if lines:
+            self.brk(gap)
+            for line in lines:
+                if line:
+                    self._put(line)
+                else:
+                    self.lines.append("")
+            self.gap = gap
 
     def done(self) -> list[str]:
-        if self.line:
-            self.lines.append("".join(self.line))
-            self.line = []
+        self._end()
         return self.lines
 
 
-def _walk(node: Node, out: _Out, pre: bool, shown: bool, depth: int) -> None:
-    number = None
-    if node.tag == "ol":
-        start = node.attrs.get("start", "1").strip()
-        number = int(start) if re.fullmatch("-?[0-9]{1,9}", start) else 1
-    for child in node.children:
+_START = re.compile("-?[0-9]{1,9}")
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(\w+)", re.IGNORECASE)
+_SHOWN_INPUTS = frozenset("text submit button reset search email tel url number".split())
+
+
+def _walk(root: Node, out: _Out, shown: bool) -> None:
+    """Render what is inside ``root``; a frame is [node, its children, shown, number of the
+    next list item, what is to be done at its end]."""
+    def frame(node: Node, visible: bool, finish=None) -> list:
+        number = None
+        if node.tag == "ol":
+            start = node.attrs.get("start", "1").strip()
+            number = int(start) if _START.fullmatch(start) else 1
+        return [node, iter(node.children), visible, number, finish]
+
+    frames = [frame(root, shown)]
+    while frames:
+        at = frames[-1]
+        node, children, shown, number, finish = at
+        child = next(children, None)
+        if child is None:
+            frames.pop()
+            if finish is not None:
+                finish()
+            continue
         if isinstance(child, str):
-            if not shown:
-                continue
-            s = unescape(child) if "&" in child else child
-            if pre:
-                parts = s.replace("\r\n", "\n").split("\n")
-                for i, part in enumerate(parts):
-                    if i:
-                        out.lines.append("".join(out.line))
-                        out.line = []
-                    if part:
-                        if out.gap and out.lines and not out.line:
-                            out.lines += [""] * (out.gap - 1)
-                        out.gap = 0
-                        out.line.append(part)
-            else:
-                out.text(s)
+            if shown:
+                out.text(unescape(child) if "&" in child else child)
             continue
-        tag = child.tag
         if _hidden(child):
             continue
-        visible = shown
-        if "style" in child.attrs and (m := re.search(r"(?:^|;)\s*visibility\s*:\s*(\w+)", child.attrs["style"])):
+        tag, visible = child.tag, shown
+        if "style" in child.attrs and (m := _VISIBILITY.search(child.attrs["style"])):
             visible = m[1].lower() == "visible"
         if tag == "br":
             out.hard()
-        elif tag == "table":
-            out.block(_table(child, visible, depth), 2)
-        elif tag in ("ul", "ol", "menu", "dl", "blockquote", "pre", "xmp"):
-            inner = _Out()
-            _walk(child, inner, pre or tag in ("pre", "xmp"), visible, depth + 1)
-            lines = inner.done()
-            if tag in ("pre", "xmp"):
-                while lines and not lines[0].strip():
-                    lines = lines[1:]
-                while lines and not lines[-1].strip():
-                    lines = lines[:-1]
-            if tag == "blockquote":
-                lines = ["  " + x if x else x for x in lines]
-            out.block(lines, 1 if node.tag == "li" else 2)
-        elif tag == "li":
-            inner = _Out()
-            _walk(child, inner, pre, visible, depth + 1)
-            mark = "- "
-            if number is not None:
-                mark = f"{number}. "
-                number += 1
-            lines = inner.done()
-            pad = " " * len(mark)
-            out.block([(pad if i else mark) + x if x else x for i, x in enumerate(lines)], 1)
-        elif tag == "dd":
-            inner = _Out()
-            _walk(child, inner, pre, visible, depth + 1)
-            out.block(["  " + x if x else x for x in inner.done()], 1)
+            continue
+        if tag == "table" and not child.layout:
+            out.block(_table(child, visible), 2)
+            continue
+        if tag == "input":
+            if visible and child.attrs.get("value") and child.attrs.get("type", "text").lower() in _SHOWN_INPUTS:
+                out.text(child.attrs["value"])
+            continue
+        end = None
+        if tag in ("pre", "xmp") and not out.pre:
+            before = out.enter(1 if node.tag == "li" else 2, "", "")
+            out.pre = True
+
+            def end(before=before):
+                out._end()
+                out.pre, out.blank = False, []
+                out.leave(before)
+        elif tag in ("ul", "ol", "menu", "dl", "blockquote", "li", "dd"):
+            mark, pad, gap = "", "", 1 if node.tag == "li" or tag in ("li", "dd") else 2
+            if tag == "li":
+                mark = "- "
+                if number is not None:
+                    mark = f"{number}. "
+                    at[3] += 1
+                pad = " " * len(mark)
+            elif tag in ("blockquote", "dd"):
+                pad = "  "
+            before = out.enter(gap, mark, pad)
+
+            def end(before=before):
+                out.leave(before)
         elif tag in SPACED or tag in BLOCK:
             gap = 2 if tag in SPACED else 1
             out.brk(gap)
-            _walk(child, out, pre, visible, depth + 1)
-            out.brk(gap)
-        elif tag == "input":
-            if visible and child.attrs.get("value") and child.attrs.get("type", "text").lower() in ("text", "submit", "button", "reset", "search", "email", "tel", "url", "number"):
-                out.text(child.attrs["value"])
-        else:
-            _walk(child, out, pre, visible, depth + 1)
 
+            def end(gap=gap):
+                out.brk(gap)
+        frames.append(frame(child, visible, end))
 
-def _cells(node: Node, rows: list, shown: bool, depth: int) -> list[str]:
-    """Rows of (lines, span) of a table; returns lines of what is not in a cell."""
+
+def _span(cell: Node, name: str, most: int) -> int:
+    value = cell.attrs.get(name, "1").strip()
+    return min(most, int(value)) if re.fullmatch("[0-9]{1,9}", value) else 1
+
+
+def _cells(node: Node, rows: list, shown: bool, group: int) -> list[str]:
+    """Rows, as (group, [(lines, columns, rows spanned)]), of a table; returns lines of what is not in a cell."""
     odd: list[str] = []
     loose = Node("#loose")
     for child in node.children:
@@ -330,44 +433,80 @@ def _cells(node: Node, rows: list, shown: bool, depth: int) -> list[str]:
             continue
         elif child.tag in ("thead", "tbody", "tfoot", "tr"):
             if child.tag == "tr":
-                rows.append([])
-            odd += _cells(child, rows, shown, depth + 1)
+                rows.append((group, []))
+                odd += _cells(child, rows, shown, group)
+            else:
+                odd += _cells(child, rows, shown, id(child))
         elif child.tag in ("td", "th"):
-            if not rows:
-                rows.append([])
+            if not rows or rows[-1][0] != group:
+                rows.append((group, []))
+            visible = shown
+            if "style" in child.attrs and (m := _VISIBILITY.search(child.attrs["style"])):
+                visible = m[1].lower() == "visible"
             inner = _Out()
-            _walk(child, inner, False, shown, depth + 1)
-            span = child.attrs.get("colspan", "1")
-            rows[-1].append((inner.done(), min(100, max(1, int(span))) if re.fullmatch("[0-9]{1,4}", span) else 1))
+            _walk(child, inner, visible)
+            rows[-1][1].append((inner.done(), max(1, _span(child, "colspan", 1000)), _span(child, "rowspan", 65534)))
         else:
             loose.children.append(child)
     if loose.children:
         inner = _Out()
-        _walk(loose, inner, False, shown, depth + 1)
+        _walk(loose, inner, shown)
         odd += inner.done()
     return odd
 
 
-def _table(node: Node, shown: bool, depth: int) -> list[str]:
-    rows: list[list[tuple[list[str], int]]] = []
-    before = _cells(node, rows, shown, depth)
+def _placed(rows: list) -> list[list[tuple[int, int, list[str]]]]:
+    """(column, columns, lines) of the cells of each row: a cell that spans rows keeps its
+    columns from those below, up to the end of its group; 0 rows are all."""
+    out, taken, group = [], [], None  # taken: (from, to, last row)
+    for y, (of, cells) in enumerate(rows):
+        if of != group:
+            taken, group = [], of
+        taken = [t for t in taken if t[2] >= y]
+        x, k, row, more = 0, 0, [], []
+        for lines, wide, high in cells:
+            while k < len(taken) and taken[k][0] <= x:
+                x = max(x, taken[k][1])
+                k += 1
+            row.append((x, wide, lines))
+            if high != 1:
+                end = y + high - 1 if high else len(rows)
+                if more and more[-1][1:] == (x, end):  # side by side, and ending together
+                    more[-1] = (more[-1][0], x + wide, end)
+                else:
+                    more.append((x, x + wide, end))
+            x += wide
+        taken = sorted(taken + more) if more else taken
+        out.append(row)
+    return out
+
+
+def _table(node: Node, shown: bool) -> list[str]:
+    rows: list[tuple[int, list[tuple[list[str], int, int]]]] = []
+    out = _cells(node, rows, shown, 0)
+    placed = _placed(rows)
     width: dict[int, int] = {}
-    for row in rows:
-        at = 0
-        for lines, span in row:
-            if span == 1:
-                width[at] = max([width.get(at, 0), *map(len, lines)])
-            at += span
-    out = list(before)
-    for row in rows:
-        high = max((len(lines) for lines, _ in row), default=0)
-        for i in range(high):
-            parts, at = [], 0
-            for lines, span in row:
-                w = sum(width.get(c, 0) for c in range(at, at + span)) + 3 * (span - 1)
-                parts.append((lines[i] if i < len(lines) else "").ljust(w))
-                at += span
-            out.append(" | ".join(parts).rstrip())
+    for row in placed:
+        for x, wide, lines in row:
+            if wide == 1:
+                width[x] = max([width.get(x, 0), *(n for n in map(len, lines) if n <= MAX_WIDTH)])
+    columns = sorted(width)
+    upto = [0, *accumulate(width[x] for x in columns)]
+    for row in placed:
+        high = max((len(lines) for _, _, lines in row), default=0)
+        parts: list[list[str]] = [[] for _ in range(high)]
+        size = [0] * high
+        for x, _, lines in row:
+            start = upto[bisect_left(columns, x)] + 3 * x
+            for i in range(max(len(lines), min(1, high))):
+                s = lines[i] if i < len(lines) else ""
+                if x:
+                    pad = min(MAX_PAD, max(0, start - 3 - size[i]))
+                    parts[i] += [" " * pad, " | "]
+                    size[i] += pad + 3
+                parts[i].append(s)
+                size[i] += len(s)
+        out += ["".join(p).rstrip() for p in parts]
     return out
 
 
@@ -376,7 +515,7 @@ def render(html: str | None) -> str:
     if not html:
         return ""
     out = _Out()
-    _walk(parse(html.replace("\x00", "")), out, False, True, 0)
+    _walk(parse(html.replace("\x00", "")), out, True)
     return "\n".join(out.done()).strip("\n")
 
 
