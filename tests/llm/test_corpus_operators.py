@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.llm import class_lm, fingerprint, jaccard_join, mixing, toxicity
+from tracemill.llm import class_lm, decontaminate, fingerprint, jaccard_join, mixing, pii, toxicity
 from tracemill.llm.common import text_bytes
 
 SF = "/root/testdata/sf0.001"
@@ -417,13 +417,93 @@ def test_components_of_a_chain(spark):
 
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    before = docs
-    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        after = stage(spark, before, SF)
-        if i < 4:
-            assert after.columns == docs.columns
-            assert after.count() <= before.count()
-            before = after.cache()
-    assert 0.8 * docs.count() < before.count() <= docs.count()
-    assert corpus_pipeline.run(spark, SF).count() > 0
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["toxicity", "near copies", "benchmark", "personal data", "mix"]
+    docs, labels, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
+    rows = {r.doc_id: r for r in docs.collect()}
+
+    def kept(name, before):
+        out = stages[name](spark, spark.createDataFrame([tuple(r) for r in before.values()], docs.schema), SF)
+        assert out.schema.names == docs.columns
+        got = out.collect()
+        after = {r.doc_id: r for r in got}
+        assert len(after) == len(got) and after.keys() <= before.keys()
+        return after
+
+    # toxicity: what the operator scores under 0.5 stays as it was
+    after = kept("toxicity", rows)
+    scores = {r.doc_id: r.score for r in toxicity.report(docs, labels).collect()}
+    assert after == {i: r for i, r in rows.items() if scores[i] < 0.5}
+    truth = {r.doc_id: r.toxic for r in labels.collect() if r.doc_id in rows and r.toxic is not None}
+    learned = lambda i: zlib.crc32(str(i).encode()) % 5 != 0
+    toxic, clean = {i for i, t in truth.items() if t and learned(i)}, {i for i, t in truth.items() if not t}
+    assert toxic and not toxic & after.keys() and len(clean & after.keys()) >= 0.9 * len(clean)
+    # near copies: one row of each component by brute force
+    before, after = after, kept("near copies", after)
+    named = brute_components({i: r.text for i, r in before.items()}, 5, 80, 100)
+    assert after == {i: before[i] for i in {c for _, c in named.values()}} and len(after) < len(before)
+    # benchmark: no window is left; what has none is as it was
+    before, after = after, kept("benchmark", after)
+    windows = set()
+    for r in items.collect():
+        w = decontaminate.words_of((r.text or "").encode())
+        windows |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
+    sizes = {len(w) for w in windows}
+
+    def hit(text):
+        w = decontaminate.words_of((text or "").encode())
+        return {p for k in sizes for i in range(len(w) - k + 1) if tuple(w[i : i + k]) in windows for p in range(i, i + k)}, len(w)
+
+    for i, r in before.items():
+        found, n = hit(r.text)
+        assert (i in after) == (len(found) <= 0.5 * n)
+        if i in after:
+            assert after[i] == r if not found else len(decontaminate.words_of(after[i].text.encode())) == n - len(found) and after[i].n_chars == len(after[i].text)
+    assert any(hit(r.text)[0] for r in before.values())
+    # personal data: nothing of the fixed patterns is left; nobody goes
+    before, after = after, kept("personal data", after)
+    assert after.keys() == before.keys()
+    changed = 0
+    for i, r in before.items():
+        if any(pii.base_spans(r.text).values()):
+            assert not any(pii.base_spans(after[i].text).values()) and after[i].n_chars == len(after[i].text)
+            changed += 1
+    assert changed and sum(after[i] == r for i, r in before.items()) > len(before) / 2
+    # mix: each document as often as its source's target takes it
+    last = spark.createDataFrame([tuple(r) for r in after.values()], docs.schema)
+    mix = stages["mix"](spark, last, SF).collect()
+    digest = {r.doc_id: r for r in mixing.mix(last, labels).collect()}
+    assert Counter(r.doc_id for r in mix) == +Counter({i: d.copies for i, d in digest.items()})
+    assert all(r.text == after[r.doc_id].text and r.target == digest[r.doc_id].target for r in mix)
+    run = corpus_pipeline.run(spark, SF).collect()
+    assert Counter(map(tuple, run)) == Counter(map(tuple, mix))
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    plain = " ".join(f"word{i}" for i in range(40))
+    rows = [
+        (1, plain, "en", "a", 5), (1, plain, "en", "a", 5), (None, plain, None, None, None), (2, None, "en", "a", None), (3, "", "en", None, 0), (4, "\n \t", "en", "b", 3), (5, "call +49 151 2345678 now", "en", "a", 24),
+        (6, "long " + "words and more text " * 60_000, "en", "b", 1), (7, "x" * 300_000, "en", "b", 1), (8, plain + " tail", "en", "b", 1), (None, None, None, None, None),
+    ]
+    docs = spark.createDataFrame(rows, DOCS)
+    clash = ("_tm_row", "_0", "_1", "bytes", "row", "spans", "new", "component_id", "score", "id")
+    odd = docs.withColumns({c: F.lit(f"{c}!") for c in clash})
+    texts = Counter((r.doc_id, r.text) for r in docs.collect())
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        out = stage(spark, odd, SF)
+        got = out.collect()
+        assert out.columns[: len(odd.columns)] == odd.columns if i == 4 else out.columns == odd.columns
+        assert all(r[c] == f"{c}!" for r in got for c in clash)
+        now = Counter((r.doc_id, r.text) for r in got)
+        if name == "toxicity":
+            assert now <= texts and now[2, None] and now[3, ""] and now[None, None]
+        elif name == "near copies":
+            assert now == texts - Counter([(1, plain), (None, plain), (8, plain + " tail")])
+        elif name == "benchmark":
+            assert now == texts
+        elif name == "personal data":
+            assert {i: n for i, n in Counter(k for k, _ in now.elements()).items()} == Counter(k for k, _ in texts.elements()) and now[5, "call <PHONE> now"] and now[2, None]
+        else:
+            assert now.keys() <= texts.keys() and now[6, rows[7][1]]

@@ -397,11 +397,14 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     then class, then place.  Rows are told apart by place, as ids may repeat or be null.
 
     The rows that go are broadcast only if they are at most ``max_broadcast``."""
-    # written once, so that a row has one number wherever it is read
-    rows = materialize(docs.withColumn("_tm_row", F.monotonically_increasing_id()), "rows")
-    members, _ = find(rows, id_col=id_col, text_col=text_col, row_col="_tm_row", **options)
+    # columns go by place, so that names of any kind can't clash; the rows are written once,
+    # so that a row has one number wherever it is read
+    place = [f"_{i}" for i in range(len(docs.columns))]
+    rows = materialize(docs.toDF(*place).withColumn("row", F.monotonically_increasing_id()), "rows")
+    of = dict(zip(docs.columns, place, strict=True))
+    members, _ = find(rows, id_col=of[id_col], text_col=of[text_col], row_col="row", **options)
     members = materialize(members.filter("label is not null"), "members")
     best = members.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "c", "row")).alias("b")).select(F.col("b.row").alias("row"))
-    gone = materialize(members.join(best, "row", "left_anti").select(F.col("row").alias("_tm_row")), "gone")
+    gone = materialize(members.join(best, "row", "left_anti").select("row"), "gone")
     hint: Callable[[DataFrame], DataFrame] = F.broadcast if gone.count() <= max_broadcast else (lambda d: d)
-    return rows.join(hint(gone), "_tm_row", "left_anti").select(*docs.columns)
+    return rows.join(hint(gone), "row", "left_anti").select(*place).toDF(*docs.columns)

@@ -142,8 +142,13 @@ def mixed(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The mix itself: ``docs`` with a row for each copy that is taken, and ``size, source_size,
     target, taken, copies`` of the document and the number ``copy``, from 1, of the row."""
     made = ["size", "source_size", "target", "taken", "copies"]
-    # written once, so that a row has one number wherever it is read
-    rows = materialize(docs.drop(*made, "copy").withColumn("_tm_row", F.monotonically_increasing_id()), "mix-rows")
-    taken = _drawn(rows, labels, "_tm_row").filter("copies > 0").select("_tm_row", *made)
+    columns = [c for c in docs.columns if c not in made and c != "copy"]
+    # columns go by place, so that names of any kind can't clash; the rows are written once,
+    # so that a row has one number wherever it is read
+    place = [f"_{i}" for i in range(len(columns))]
+    of = dict(zip(columns, place, strict=True))
+    rows = materialize(docs.select(*columns).toDF(*place).withColumn("_tm_row", F.monotonically_increasing_id()), "mix-rows")
+    named = rows.select("_tm_row", *[F.col(of[c]).alias(c) for c in ("doc_id", "source", "text")])
+    taken = _drawn(named, labels, "_tm_row").filter("copies > 0").select("_tm_row", *made)
     out = rows.join(taken, "_tm_row").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return out.drop("_tm_row")
+    return out.select(*place, *made, "copy").toDF(*columns, *made, "copy")
