@@ -4,6 +4,13 @@ Each stage works on all that the one before it kept.  A stage takes
 ``(spark, docs, sf_dir)`` and returns a DataFrame; it is written as Parquet to the
 shared folder and reread as the next one's ``docs``.  All but the last return the
 columns of ``documents``.
+
+Defined results, of every stage: an empty table stays empty; null and empty texts are kept as
+they are (the mix takes documents without words in whole epochs only); texts of any length are
+read whole; rows that repeat are rows of their own (near copies of each other, of which one
+stays); null and repeated ids change nothing but which row of near copies stays; columns that
+``documents`` does not have pass through whatever their names (the mix replaces those that
+are named like its own).
 """
 
 from __future__ import annotations
@@ -16,7 +23,8 @@ from tracemill.llm.common import materialize, table
 
 def _few_texts_at_once(spark: SparkSession) -> None:
     """Texts go to Python 500 at a time: both sides keep whole batches, and what one
-    stage's workers keep lasts into the next.  A smaller setting stays."""
+    stage's workers keep lasts into the next.  A smaller setting stays.  It is left so,
+    as a stage's rows are made only when they are written, after the stage returns."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= 500:
         spark.conf.set(key, "500")
