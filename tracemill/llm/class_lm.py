@@ -3,11 +3,12 @@
 Words are counted over all training texts.  Exchange clustering of the ``n_words``
 commonest words and of ``n_groups`` groups of the others (by their last three bytes)
 gives the first classes: items move between ``n_classes`` classes while the likelihood
-of the class bigrams of the whole training corpus rises.  Then, in rounds, every other
-word of the training texts is counted with the classes before and after it, in a table
-that stays distributed, and goes to the class that makes its own contexts likeliest; its
-group's contexts, as a few tokens besides, decide for a word hardly ever seen, and the
-group's class stands for a word never seen.  The probability of a word is the smoothed
+of the class bigrams of the whole training corpus rises.  Then, in rounds, words of the
+training texts are counted with the classes before and after them, in a table that stays
+distributed, and go to the class that makes their own contexts likeliest: the common ones
+in every round, as their classes are what the next one sees beside a word, and all words in
+the last.  A word's group decides, as a few tokens besides, for one hardly ever seen; its
+class stands for a rare word beside others, and for a word never seen.  The probability of a word is the smoothed
 transition between classes times its emission from its class, with absolute
 discounting that leaves mass for words never seen.
 
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import batch_rows, materialize, schema_with, text_bytes
+from tracemill.llm.common import batch_rows, discard, materialize, schema_with, text_bytes
 
 #: Stands for the end of a text; it holds a separator, so it is no word.
 END = b"\n"
@@ -163,9 +164,9 @@ def _tail_known(batch, n_groups: int, group_class: np.ndarray):
         yield codes, tail, c, k
 
 
-def _contexts(encoded: DataFrame, head: list[bytes], head_class: np.ndarray, group_class: np.ndarray, n_classes: int, flush: int = 4_000_000) -> DataFrame:
-    """Word x class counts: ``word, ctx`` with the packed contexts of a word in part of the
-    texts, and ``pair, n``, the class bigrams, where the word is null."""
+def _contexts(encoded: DataFrame, head: list[bytes], head_class: np.ndarray, group_class: np.ndarray, n_classes: int, only_head: bool, flush: int = 4_000_000) -> DataFrame:
+    """Word x class counts: ``word, ctx`` with the packed contexts of a word (of ``head``, or
+    any) in part of the texts, and ``pair, n``, the class bigrams, where the word is null."""
     shared = encoded.sparkSession.sparkContext.broadcast((head, head_class, group_class))
     slots = 2 * n_classes
 
@@ -195,12 +196,13 @@ def _contexts(encoded: DataFrame, head: list[bytes], head_class: np.ndarray, gro
                 cls[0], cls[1:] = of_head[end], _looked_up(codes, of_head, k)
                 word = np.empty(len(codes) + 1, dtype=np.int64)
                 word[0], word[1:] = end, codes
-                if tail:
+                if tail and not only_head:
                     rare = np.flatnonzero(word < 0)
                     word[rare] = np.array([len(words) + more.setdefault(w, len(more)) for w in tail])[-1 - word[rare]]
-                keys += [word[:-1] * slots + cls[1:], word[1:] * slots + n_classes + cls[:-1]]
+                made = np.concatenate((word[:-1] * slots + cls[1:], word[1:] * slots + n_classes + cls[:-1]))
+                keys.append(made[made >= 0])
                 np.add.at(pair, cls[:-1] * n_classes + cls[1:], 1)
-                held += 2 * len(codes)
+                held += len(keys[-1])
                 if held > flush:
                     yield from out()
                     more, keys, held = {}, [], 0
@@ -209,8 +211,7 @@ def _contexts(encoded: DataFrame, head: list[bytes], head_class: np.ndarray, gro
         at = np.flatnonzero(pair)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.binary()), pa.array(at, pa.int32()), pa.array(pair[at], pa.int64())], ["word", "ctx", "pair", "n"])
 
-    names = [c for c in ("codes", "_tail", "_seen") if c in encoded.columns]
-    return encoded.select(*names).mapInArrow(run, "word binary, ctx binary, pair int, n long")
+    return encoded.select("codes", "_tail").mapInArrow(run, "word binary, ctx binary, pair int, n long")
 
 
 def _pair_matrix(pairs: DataFrame, n_classes: int) -> np.ndarray:
@@ -229,7 +230,9 @@ def _context_logs(pair: np.ndarray) -> np.ndarray:
 def _assign(contexts: DataFrame, fixed: dict[bytes, int], logs: np.ndarray, group_logs: np.ndarray, group_class: np.ndarray) -> DataFrame:
     """``word, c, k``: count and likeliest class of every word; ``fixed`` ones keep theirs.
     ``group_logs`` is what a word's group says for each class before its own contexts do."""
-    grouped = contexts.filter("word is not null").groupBy("word").agg(F.collect_list("ctx").alias("ctx"))
+    # rows of a word follow each other, so a task holds the contexts of a few words at a time,
+    # however many tasks counted a common one
+    ordered = contexts.filter("word is not null").select("word", "ctx").repartition("word").sortWithinPartitions("word")
     shared = contexts.sparkSession.sparkContext.broadcast((fixed, logs, group_logs, group_class))
     slots, n_classes = logs.shape
 
@@ -237,12 +240,8 @@ def _assign(contexts: DataFrame, fixed: dict[bytes, int], logs: np.ndarray, grou
         keep, of_ctx, of_group, default = shared.value
         live = np.unique(np.concatenate((default, np.fromiter(keep.values(), np.int64))))
         dead = np.setdiff1d(np.arange(n_classes), live)
-        for batch in batches:
-            words, lists = batch.column("word").to_pylist(), batch.column("ctx").to_pylist()
-            data = [b"".join(x) for x in lists]
-            owner = np.repeat(np.arange(len(data)), [len(x) // _CTX.itemsize for x in data])
-            got = np.frombuffer(b"".join(data), dtype=_CTX)
-            x = np.bincount(owner * slots + got["slot"], weights=got["n"], minlength=len(data) * slots).reshape(-1, slots)
+
+        def out(words, x):
             score = x @ of_ctx + of_group[[group_of(w, len(default)) for w in words]]
             score[:, dead] = -np.inf
             k = score.argmax(axis=1)
@@ -250,10 +249,31 @@ def _assign(contexts: DataFrame, fixed: dict[bytes, int], logs: np.ndarray, grou
                 if w in keep:
                     k[i] = keep[w]
             c = x[:, n_classes:].sum(axis=1).astype(np.int64)  # every token has one before it
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(c, pa.int64()), pa.array(k, pa.int32())], ["word", "c", "k"])
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c, pa.int64()), pa.array(k, pa.int32())], ["word", "c", "k"])
+
+        held = None
+        for batch in batches:
+            each, data = batch.column("word").to_pylist(), batch.column("ctx").to_pylist()
+            new = np.array([a != b for a, b in zip(each, [None, *each], strict=False)])
+            words = [each[i] for i in np.flatnonzero(new)]
+            if not words:
+                continue
+            owner = np.repeat(np.cumsum(new) - 1, [len(x) // _CTX.itemsize for x in data])
+            got = np.frombuffer(b"".join(data), dtype=_CTX)
+            x = np.bincount(owner * slots + got["slot"], weights=got["n"], minlength=len(words) * slots).reshape(-1, slots)
+            if held is not None:
+                if held[0] == words[0]:
+                    x[0] += held[1]
+                else:
+                    yield out([held[0]], held[1][None])
+            held = words[-1], x[-1].copy()
+            if len(words) > 1:
+                yield out(words[:-1], x[:-1])
+        if held is not None:
+            yield out([held[0]], held[1][None])
 
-    with batch_rows(contexts.sparkSession, 1000):
-        return materialize(grouped.mapInArrow(run, "word binary, c long, k int"), "word-classes")
+    with batch_rows(contexts.sparkSession, 4000):
+        return materialize(ordered.mapInArrow(run, "word binary, c long, k int"), "word-classes")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -344,8 +364,8 @@ def _fit(
     """The model fitted on the ``texts`` that are not ``held_out``, whose words are counted
     in ``counts``, and all texts placed in classes (:func:`_place`).
 
-    Each of ``rounds`` gives every word the class that its own contexts make likeliest;
-    its group's contexts count as ``trust`` tokens besides."""
+    Each of ``rounds`` gives words the class that their own contexts make likeliest; their
+    group's contexts count as ``trust`` tokens besides."""
     # counts of counts in steps of an eighth of a power of two: at most 512 rows
     bands = counts.groupBy(F.floor(F.log2("c") * 8).alias("band")).agg(
         F.count("*").alias("v"), F.sum("c").alias("n"), F.sum((F.col("c") == 1).cast("long")).alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2")
@@ -378,12 +398,11 @@ def _fit(
     member[np.arange(len(cls)), cls] = 1.0
     near = np.concatenate((bigrams[n_words:] @ member, bigrams[:, n_words:].T @ member), axis=1)
     near *= trust / np.maximum(near[:, n_classes:].sum(axis=1, keepdims=True), 1.0)
-    words = None
-    for _ in range(rounds):
-        given = training if words is None else _resolve(training, words)
-        contexts = materialize(_contexts(given, [w for _, w in head], head_class, group_class, n_classes), "contexts")
+    for r in range(rounds):
+        contexts = materialize(_contexts(training, [w for _, w in head], head_class, group_class, n_classes, only_head=r < rounds - 1), "contexts")
         logs = _context_logs(_pair_matrix(contexts.filter("word is null"), n_classes))
         words = _assign(contexts, fixed, logs, near @ logs, group_class)
+        discard(contexts)
         got = words.filter(is_common).select("word", "k").toArrow()
         for w, k in zip(got.column("word").to_pylist(), got.column("k").to_pylist(), strict=True):
             head_class[place[w]] = k

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tracemill.functions.tables import materialize, shared_dir
+from tracemill.functions.tables import discard, materialize, shared_dir
 
-__all__ = ["SPACE_CLASS", "batch_rows", "materialize", "schema_with", "shared_dir", "table", "text_bytes"]
+__all__ = ["SPACE_CLASS", "batch_rows", "discard", "materialize", "schema_with", "shared_dir", "table", "text_bytes"]
 
 #: Word separators of the contracts: space and the ASCII controls 09-0D.  These
 #: are exactly the bytes that ``bytes.split()`` splits on.
