@@ -77,16 +77,17 @@ def count_words(texts: DataFrame, col: str = "_tm_bytes", flush: int = 400_000)
     return texts.select(col).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _encode(texts: DataFrame, head: dict[bytes, int]) -> DataFrame:
+def _encode(texts: DataFrame, head: dict[bytes, int], n_groups: int) -> DataFrame:
     """The texts' words, each text finished by END, as ``codes``: the place of a common
-    word in ``head``, or ``-1 - i`` for the i-th of the text's other words, ``_tail``."""
+    word in ``head``, or ``-1 - i`` for the i-th of the text's other words, ``_tail``, whose
+    groups are ``_groups``."""
     shared = texts.sparkSession.sparkContext.broadcast(head)
     names = [c for c in texts.columns if c != "_tm_bytes"]
 
     def run(batches):
         get, end = shared.value.get, shared.value[END]
         for batch in batches:
-            codes, tails = [], []
+            codes, tails, groups = [], [], []
             for value in batch.column("_tm_bytes"):
                 words, tail = words_of(value.as_py()), {}
                 ids = np.empty(len(words) + 1, dtype=np.int32)
@@ -94,15 +95,18 @@ def _encode(texts: DataFrame, head: dict[bytes, int]) -> DataFrame:
                 ids[-1] = end
                 codes.append(ids.tobytes())
                 tails.append(list(tail))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(codes, pa.binary()), pa.array(tails, pa.list_(pa.binary()))], [*names, "codes", "_tail"])
+                groups.append(np.array([group_of(w, n_groups) for w in tail], dtype=np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in names), pa.array(codes, pa.binary()), pa.array(tails, pa.list_(pa.binary())), pa.array(groups, pa.binary())], [*names, "codes", "_tail", "_groups"]
+            )
 
-    return texts.mapInArrow(run, schema_with(texts, names, "codes binary, _tail array<binary>"))
+    return texts.mapInArrow(run, schema_with(texts, names, "codes binary, _tail array<binary>, _groups binary"))
 
 
 def _encoded_texts(batch):
-    """(codes, tail words) of each text of a batch of :func:`_encode`."""
-    for codes, tail in zip(batch.column("codes"), batch.column("_tail").to_pylist(), strict=True):
-        yield np.frombuffer(codes.as_py(), dtype=np.int32), tail
+    """(codes, groups of the other words) of each text of a batch of :func:`_encode`."""
+    for codes, groups in zip(batch.column("codes").to_pylist(), batch.column("_groups").to_pylist(), strict=True):
+        yield np.frombuffer(codes, dtype=np.int32), np.frombuffer(groups, dtype=np.int32)
 
 
 def count_bigrams(encoded: DataFrame, item_of: np.ndarray, end: int, n_words: int, n_groups: int) -> np.ndarray:
@@ -113,9 +117,9 @@ def count_bigrams(encoded: DataFrame, item_of: np.ndarray, end: int, n_words: in
     def run(batches):
         total = np.zeros(n * n, dtype=np.int64)
         for batch in batches:
-            for codes, tail in _encoded_texts(batch):
+            for codes, groups in _encoded_texts(batch):
                 a = np.full(len(codes) + 1, shared.value[end], dtype=np.int64)
-                a[1:] = _looked_up(codes, shared.value, [n_words + group_of(w, n_groups) for w in tail])
+                a[1:] = _looked_up(codes, shared.value, n_words + groups)
                 pairs = a[:-1] * n + a[1:]
                 if len(pairs) > 50_000:
                     total += np.bincount(pairs, minlength=n * n)
@@ -126,7 +130,7 @@ def count_bigrams(encoded: DataFrame, item_of: np.ndarray, end: int, n_words: in
             part = at[i : i + 500_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], ["pair", "c"])
 
-    got = encoded.select("codes", "_tail").mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
+    got = encoded.select("codes", "_groups").mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
     matrix = np.zeros(n * n, dtype=np.float64)
     matrix[got.column("pair").to_numpy()] = got.column("c").to_numpy()
     return matrix.reshape(n, n)
@@ -149,19 +153,24 @@ def _resolve(encoded: DataFrame, words: DataFrame) -> DataFrame:
     """``encoded`` with ``_seen``: place, count and class of its other words in ``words``."""
     tail = encoded.select("_row", F.posexplode("_tail").alias("i", "w"))
     tail = tail.join(words, F.col("w") == F.col("word")).groupBy("_row").agg(F.collect_list(F.struct("i", "c", "k")).alias("_seen"))
-    return encoded.join(tail, "_row", "left")
-
-
-def _tail_known(batch, n_groups: int, group_class: np.ndarray):
-    """(codes, tail words, their counts, their classes) of each text of a batch; a word
-    never counted has count 0 and the class of its group."""
-    seen = batch.column("_seen").to_pylist() if "_seen" in batch.schema.names else [None] * len(batch)
-    for (codes, tail), known in zip(_encoded_texts(batch), seen, strict=True):
-        c = np.zeros(len(tail), dtype=np.int64)
-        k = np.array([group_class[group_of(w, n_groups)] for w in tail], dtype=np.int64)
-        for r in known or ():
-            c[r["i"]], k[r["i"]] = r["c"], r["k"]
-        yield codes, tail, c, k
+    return encoded.drop("_tail").join(tail, "_row", "left")
+
+
+def _tail_known(batch, group_class: np.ndarray):
+    """(codes, counts and classes of the other words) of each text of a batch; a word never
+    counted has count 0 and the class of its group."""
+    seen = None
+    if "_seen" in batch.schema.names:
+        column = batch.column("_seen")
+        flat = column.flatten()
+        seen = [flat.field(c).to_numpy(zero_copy_only=False) for c in ("i", "c", "k")]
+        stop = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    for row, (codes, groups) in enumerate(_encoded_texts(batch)):
+        c, k = np.zeros(len(groups), dtype=np.int64), group_class[groups]
+        if seen is not None:
+            own = slice(stop[row - 1] if row else 0, stop[row])
+            c[seen[0][own]], k[seen[0][own]] = seen[1][own], seen[2][own]
+        yield codes, c, k
 
 
 def _contexts(encoded: DataFrame, head: list[bytes], head_class: np.ndarray, group_class: np.ndarray, n_classes: int, only_head: bool, flush: int = 4_000_000) -> DataFrame:
@@ -172,7 +181,7 @@ def _contexts(encoded: DataFrame, head: list[bytes], head_class: np.ndarray, gro
 
     def run(batches):
         words, of_head, of_group = shared.value
-        end, n_groups = words.index(END), len(of_group)
+        end = words.index(END)
         pair = np.zeros(n_classes * n_classes, dtype=np.int64)
         more: dict[bytes, int] = {}
         keys, held = [], 0
@@ -191,12 +200,13 @@ def _contexts(encoded: DataFrame, head: list[bytes], head_class: np.ndarray, gro
                 yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(ctx, pa.binary()), pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.int64())], ["word", "ctx", "pair", "n"])
 
         for batch in batches:
-            for codes, tail, _, k in _tail_known(batch, n_groups, of_group):
+            tails = [()] * len(batch) if only_head else batch.column("_tail").to_pylist()
+            for tail, (codes, _, k) in zip(tails, _tail_known(batch, of_group), strict=True):
                 cls = np.empty(len(codes) + 1, dtype=np.int64)
                 cls[0], cls[1:] = of_head[end], _looked_up(codes, of_head, k)
                 word = np.empty(len(codes) + 1, dtype=np.int64)
                 word[0], word[1:] = end, codes
-                if tail and not only_head:
+                if tail:
                     rare = np.flatnonzero(word < 0)
                     word[rare] = np.array([len(words) + more.setdefault(w, len(more)) for w in tail])[-1 - word[rare]]
                 made = np.concatenate((word[:-1] * slots + cls[1:], word[1:] * slots + n_classes + cls[:-1]))
@@ -211,7 +221,8 @@ def _contexts(encoded: DataFrame, head: list[bytes], head_class: np.ndarray, gro
         at = np.flatnonzero(pair)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.binary()), pa.array(at, pa.int32()), pa.array(pair[at], pa.int64())], ["word", "ctx", "pair", "n"])
 
-    return encoded.select("codes", "_tail").mapInArrow(run, "word binary, ctx binary, pair int, n long")
+    names = ["codes", "_groups"] if only_head else ["codes", "_groups", "_tail"]
+    return encoded.select(*names).mapInArrow(run, "word binary, ctx binary, pair int, n long")
 
 
 def _pair_matrix(pairs: DataFrame, n_classes: int) -> np.ndarray:
@@ -387,7 +398,7 @@ def _fit(
     place = {w: i for i, (_, w) in enumerate(head)}
     items = {w: i for i, (_, w) in enumerate([(0, END), *[x for x in head if x[1] != END]][:n_words])}
     n_words = min(n_words, len(items))
-    encoded = materialize(_encode(texts.withColumn("_row", F.monotonically_increasing_id()), place), "codes")
+    encoded = materialize(_encode(texts.withColumn("_row", F.monotonically_increasing_id()), place, n_groups), "codes")
     training = encoded.filter(~F.col("held_out"))
     item_of = np.array([items[w] if w in items else n_words + group_of(w, n_groups) for _, w in head], dtype=np.int64)
     bigrams = count_bigrams(training, item_of, place[END], n_words, n_groups)
@@ -428,14 +439,14 @@ def _place(resolved: DataFrame, model: Model) -> DataFrame:
     """Of each text: token count, known words, base score, what the words give in their
     classes, and the ``classes`` of its tokens."""
     shared = resolved.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in resolved.columns if c not in ("codes", "_tail", "_seen")]
+    names = [c for c in resolved.columns if c not in ("codes", "_tail", "_groups", "_seen")]
     whole = math.log10(max(model.tokens + 0.1 * (model.types + 1), 1e-9))
 
     def run(batches):
         m = shared.value
         for batch in batches:
             n_tokens, known, base, score, classes = [], [], [], [], []
-            for codes, _, c, k in _tail_known(batch, m.n_groups, m.group_class):
+            for codes, c, k in _tail_known(batch, m.group_class):
                 emit = np.where(c > 0, np.log10(np.maximum(c - m.discount, 1e-9)), m.unseen_log[k]) - m.class_log[k]
                 n_tokens.append(len(codes))
                 known.append(int(_looked_up(codes, np.ones(len(m.head), dtype=np.int64), c > 0).sum()))
@@ -447,7 +458,7 @@ def _place(resolved: DataFrame, model: Model) -> DataFrame:
                 [*names, "n_tokens", "_known", "_base", "_score", "classes"],
             )
 
-    return resolved.mapInArrow(run, schema_with(resolved, names, "n_tokens long, _known long, _base double, _score double, classes binary"))
+    return resolved.select(*names, "codes", "_groups", "_seen").mapInArrow(run, schema_with(resolved, names, "n_tokens long, _known long, _base double, _score double, classes binary"))
 
 
 def _steps(value, end: int) -> tuple[np.ndarray, np.ndarray]:
