@@ -1,5 +1,5 @@
-from tracemill.config import CacheConfig, RateLimit
-from tracemill.operators import admission, cache
+from tracemill.config import CacheConfig, RateLimit, RetryPolicy
+from tracemill.operators import admission, cache, delivery
 from tracemill.sources import traces
 from tracemill.streaming import stateful
 
@@ -44,5 +44,33 @@ def test_latest_status_table(spark, tmp_path):
     changes = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     q = stateful.upsert_latest(changes, str(tmp_path / "table"), str(tmp_path / "ck"))
     q.awaitTermination()
-    got = {r.id: r.status for r in spark.read.parquet(str(tmp_path / "table" / "v=2")).collect()}
+    got = {r.id: r.status for r in stateful.read_latest(spark, str(tmp_path / "table")).collect()}
     assert got == {1: "delivered", 2: "pending"}
+    # what a batch does not touch is not written again, and old versions go
+    versions = stateful._versions(spark, str(tmp_path / "table"))
+    assert sorted(map(len, versions.values())) == [1, 2] and stateful.read_latest(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_dedup_state_ends(spark, tmp_path):
+    stateful.configure(spark)
+    second = 1_000_000
+    rows = [(i, (1000 + i) * second, f"k{i // 2}") for i in range(40)]
+    s = in_batches(spark, spark.createDataFrame(rows, "seq long, t long, key string"), tmp_path, "ttl")
+    q = stateful.dedup_expiring(s, ["key"], 5 * second).writeStream.format("memory").queryName("ttl").option("checkpointLocation", str(tmp_path / "ttl")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {(r.seq, r.duplicate) for r in spark.table("ttl").collect()} == {(i, i % 2 == 1) for i, _, _ in rows}
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    # twenty keys came, but those whose window is over are gone
+    assert held[-1] <= 3 * 8
+
+
+def test_retries_come_back_when_due(spark, tmp_path):
+    stateful.configure(spark)
+    second = 1_000_000
+    policy = RetryPolicy(max_attempts=3, base_seconds=1.0, max_seconds=4.0)
+    rows = [(i, 1 + i % 3, (1000 + i) * second) for i in range(20)] + [(100 + i, 3, (1060 + i) * second) for i in range(20)]
+    s = in_batches(spark, spark.createDataFrame([(i, t, i, a) for i, a, t in rows], "seq long, t long, id long, attempt int"), tmp_path, "retry")
+    got = drain(spark, stateful.retries(s.select("id", "attempt", "t"), policy), "retry", tmp_path)
+    schedule = {(r.id, r.attempt): r.delay_s for r in delivery.retry_schedule(spark.createDataFrame([(i, 3) for i, _, _ in rows], "id long, failures int"), policy).collect()}
+    want = [(i, a, -(-(t + int(schedule[i, a] * 1e6)) // 1000)) for i, a, t in rows if a < 3]
+    assert got == sorted(want, key=str)

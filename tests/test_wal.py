@@ -37,9 +37,22 @@ def test_files_and_frames(spark, tmp_path):
     assert [tuple(r) for r in got] == rows
     df = spark.createDataFrame(rows, ROWS)
     assert [bytes(r.frame) for r in wal.encode_rows(df).orderBy("seq").collect()] == [encode(Record(r[1], r[2], bytes(r[3]), r[4])) for r in rows]
-    wal.write_log(df, str(tmp_path / "frames"))
-    back = wal.read_frames(spark, str(tmp_path / "frames")).orderBy("seq").select("seq", "op", "key", "value", "expires_ns").collect()
-    assert [tuple(r) for r in back] == rows
+
+
+def test_log_is_written_appended_and_truncated(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = [(i, 1 + i % 2, f"key{i}", bytearray(b"\x00" * (i % 3) + bytes([i % 256])), None if i % 4 else i) for i in range(1, 900)]
+    big = [(900, 1, "big", bytearray(b"v" * (3 << 20)), 7), (901, 1, "k" * 65_536, bytearray(b"v"), 7), (902, 2, "end", bytearray(b""), None)]
+    df = spark.createDataFrame(rows + big, ROWS).repartition(5)
+    assert sorted(r.seq for r in wal.encode_rows(df).filter("outcome = 'invalid_key'").collect()) == [901]
+    wal.write_log(df.filter("seq < 500"), path)
+    wal.write_log(df.filter("seq >= 500"), path)
+    back = wal.in_order(wal.read_log(spark, path)).orderBy("seq").collect()
+    assert [(r.seq, r.op, r.key, r.value, r.expires_ns) for r in back] == [(i, *r[1:]) for i, r in enumerate(rows + [big[0], big[2]])]
+    wal.write_log(df.filter("seq < 3"), path, append=False)
+    assert wal.read_log(spark, path).count() == 2
+    wal.truncate_log(spark, path)
+    assert wal.read_log(spark, path).count() == 0
 
 
 def test_good_prefix(spark):

@@ -80,7 +80,8 @@ class CacheShard:
         evicted = self.policy.add(key)
         gone = self._drop(evicted) if evicted is not None else 0
         self.items[key] = (size, expires)
-        if expires is not None:
+        # only the sweep empties the heap
+        if expires is not None and self.sweep_from is not None:
             heapq.heappush(self.due, (expires, key))
         return evicted, gone, replaced
 

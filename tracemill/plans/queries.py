@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 from tracemill.config import CHANNELS, CacheConfig, DeliveryConfig, PoolConfig, RateLimit, RetryPolicy
 from tracemill.functions import codec
 from tracemill.functions.hashing import dedup_key, request_id, ring_hash, uniform
-from tracemill.operators import admission, cache, delivery, ring
+from tracemill.functions.tables import shared_dir
+from tracemill.operators import admission, cache, delivery, dispatch, ring
 from tracemill.plans.submit import submit, validated
 from tracemill.sources import requests, traces, wal
+from tracemill.streaming import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -244,13 +247,41 @@ def wal_round_trip(spark, sf_dir):
     """Records encoded by expressions into one log image a partition and decoded again."""
     frames = wal.encode_rows(_wal_records(spark, sf_dir)).withColumn("path", F.concat(F.lit("log-"), F.floor(F.col("seq") / 500)))
     files = frames.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("seq", "frame"))).alias("f"))
-    files = files.select("path", F.expr("aggregate(f, unhex(''), (a, x) -> concat(a, x.frame))").alias("content"), F.col("f.seq").alias("seqs"))
+    files = files.select("path", F.expr("unhex(array_join(transform(f, x -> hex(x.frame)), ''))").alias("content"), F.col("f.seq").alias("seqs"))
     got = wal.decode_files(files.select("path", "content"))
     numbered = files.select(F.col("path").alias("_p"), F.posexplode("seqs").alias("_i", "real_seq"))
     out = got.join(numbered, (F.col("path") == F.col("_p")) & (F.col("seq") == F.col("_i")))
     return out.select(F.col("real_seq").alias("seq"), "op", "key", F.col("value").cast("string").alias("value"), "expires_ns")
 
 
+@_query(f"""WITH {OPS}, w AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS pos FROM ops WHERE op <> 'GET') SELECT pos AS seq, CASE op WHEN 'SET' THEN 1 ELSE 2 END::TINYINT AS op, key,
+  CASE op WHEN 'SET' THEN value ELSE '' END AS value, CASE WHEN op = 'SET' AND ttl_ms > 0 THEN t * 1000 + ttl_ms * 1000000 END AS expires_ns FROM w""")
+def wal_write_read(spark, sf_dir):
+    """A log written in two appends after a truncation, and read back through its whole length."""
+    path = f"{shared_dir(spark).rstrip('/')}/tracemill/log-{uuid.uuid4().hex}"
+    records = _wal_records(spark, sf_dir)
+    half = records.agg(F.max("seq")).first()[0] or 0
+    wal.write_log(records.filter("seq % 3 = 0"), path)
+    wal.write_log(records.filter(F.col("seq") <= half // 2), path, append=False)
+    wal.write_log(records.filter(F.col("seq") > half // 2), path)
+    return wal.in_order(wal.read_log(spark, path)).select("seq", "op", "key", F.col("value").cast("string").alias("value"), "expires_ns")
+
+
+@_query(f"""WITH {OPS}, w AS (SELECT *, seq // 500 AS f FROM ops WHERE op <> 'GET'), bad AS (SELECT f, min(seq) AS first FROM w WHERE seq % 173 = 0 GROUP BY f)
+SELECT w.f::VARCHAR AS path, count(*) AS n, max(seq) AS last FROM w LEFT JOIN bad ON w.f = bad.f WHERE first IS NULL OR seq < first GROUP BY w.f""")
+def wal_corrupt(spark, sf_dir):
+    """Logs in which some records are damaged: reading each stops at the first."""
+    frame = F.col("frame")
+    damaged = F.concat(F.expr("substring(frame, 1, octet_length(frame) - 1)"), F.unhex(F.when(F.expr("right(hex(frame), 2)") == "00", "01").otherwise("00")))
+    frames = wal.encode_rows(_wal_records(spark, sf_dir)).withColumn("path", F.floor(F.col("seq") / 500).cast("string"))
+    frames = frames.withColumn("frame", F.when(F.col("seq") % 173 == 0, damaged).otherwise(frame))
+    files = frames.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("seq", "frame"))).alias("f"))
+    files = files.select("path", F.expr("unhex(array_join(transform(f, x -> hex(x.frame)), ''))").alias("content"), F.col("f.seq").alias("seqs"))
+    got = wal.decode_files(files.select("path", "content"))
+    got = got.join(files.select("path", F.posexplode("seqs").alias("seq", "real")), ["path", "seq"])
+    return got.groupBy("path").agg(F.count("*").alias("n"), F.max("real").alias("last"))
+
+
 @_query()
 def wal_recover_bounded(spark, sf_dir):
     out = wal.recover_bounded(_wal_records(spark, sf_dir), SMALL["lru"], LATE * 1000)
@@ -285,6 +316,92 @@ def get_responses(spark, sf_dir):
     return requests.get_responses(reads).select("seq", "status", "response")
 
 
+_GO = [
+    '{"value":5}', "null", '{"Value":"aGk="}', '{"value":"a","VALUE":"b"} trailing', '{"value":null,"ttl_ms":null,"x":[1]}', '{"ttl_ms":1.5}', '{"ttl_ms":"5"}', "[]", '"x"', "", '{"value":"a"',
+    ' {"ttl_ms":-3,"value":"caf\\u00e9"}', '{"ttl_ms":9223372036854775808}', '{"value":true}',
+]
+
+
+@_query("""SELECT * FROM (VALUES (0, NULL, NULL, true), (1, '', 0, false), (2, 'hi', 0, false), (3, 'b', 0, false), (4, '', 0, false), (5, NULL, NULL, true), (6, NULL, NULL, true), (7, NULL, NULL, true),
+  (8, NULL, NULL, true), (9, NULL, NULL, true), (10, NULL, NULL, true), (11, 'café', -3, false), (12, NULL, NULL, true), (13, NULL, NULL, true)) v(n, value, ttl_ms, bad)""")
+def json_bodies(spark, sf_dir):
+    """Bodies that a typed decoder takes or refuses by rules of its own."""
+    got = requests.put_requests(spark.createDataFrame(list(enumerate(_GO)), "n int, body string"))
+    return got.select("n", F.col("value").cast("string").alias("value"), "ttl_ms", F.col("error").isNotNull().alias("bad"))
+
+
+@_query(f"""WITH {OPS} SELECT seq, CASE WHEN op = 'SET' THEN CASE WHEN seq % 11 = 0 THEN 400 ELSE 201 END ELSE CASE WHEN seq % 3 = 0 THEN 200 ELSE 404 END END AS status,
+  CASE WHEN op = 'SET' THEN CASE WHEN seq % 11 = 0 THEN '{{"error":"invalid key"}}' ELSE '{{"key":"' || key || '","stored":true}}' END ELSE CASE WHEN seq % 3 = 0 THEN '{{"deleted":true}}' ELSE '{{"error":"key not found"}}' END END AS response
+  FROM ops WHERE op <> 'GET'""")
+def write_responses(spark, sf_dir):
+    ops = traces.cache_ops(spark, sf_dir)
+    puts = requests.put_responses(ops.filter("op = 'SET'").withColumn("error", F.when(F.col("seq") % 11 == 0, "invalid_key")))
+    gone = requests.delete_responses(ops.filter("op = 'DELETE'").withColumn("outcome", F.when(F.col("seq") % 3 == 0, "deleted").otherwise("not_found")))
+    return puts.select("seq", "status", "response").unionByName(gone.select("seq", "status", "response"))
+
+
+@_query(f"""WITH RECURSIVE {_replay_cte('lru')}, s AS (SELECT count(*) FILTER (outcome = 'hit') AS hits, count(*) FILTER (outcome IN ('miss', 'expired')) AS misses, count(evicted) AS evictions,
+  sum(d_entries)::BIGINT AS entries, sum(d_memory)::BIGINT AS memory_bytes FROM rep)
+SELECT 'cache' AS service, '{{"status":"ok","entries":' || entries || '}}' AS response FROM s
+UNION ALL SELECT 'queue', '{{"status":"ok","queue_depth":' || (SELECT sum(CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END)::BIGINT FROM events) || '}}'""")
+def health_responses(spark, sf_dir):
+    s = cache.stats(cache.replay(traces.cache_ops(spark, sf_dir), SMALL["lru"]))
+    moves = validated(traces.submissions(spark, sf_dir)).withColumn("op", F.when(F.col("seq") % 3 == 0, "DEQ").otherwise("ENQ"))
+    one = requests.health_response(s).select(F.lit("cache").alias("service"), "response")
+    return one.unionByName(requests.queue_health_response(delivery.queue_depth(moves)).select(F.lit("queue").alias("service"), "response"))
+
+
+@_query(f"""WITH {VALID} SELECT seq, CASE WHEN seq % 41 = 0 THEN 400 WHEN channel <> 'fax' THEN 200 ELSE 404 END AS status,
+  CASE WHEN seq % 41 = 0 THEN '{{"error":"missing notification id"}}' WHEN channel <> 'fax' THEN '{{"id":"' || id || '","user_id":"' || user_id || '","channel":"' || channel || '","priority":' || coalesce(priority, 0) || '}}'
+  ELSE '{{"error":"not found"}}' END AS response FROM val""")
+def read_by_id(spark, sf_dir):
+    s = traces.submissions(spark, sf_dir).withColumn("id", request_id(F.col("seq")))
+    stored = s.filter("channel <> 'fax'").select("id", "user_id", "channel", F.coalesce("priority", F.lit(0)).alias("priority"))
+    asked = s.select("seq", F.when(F.col("seq") % 41 == 0, "").otherwise(F.col("id")).alias("id"))
+    return requests.read_notifications(asked, stored).select("seq", "status", "response")
+
+
+_DISPATCH_BANDS, _DISPATCH_POOLS = (3, 4, 5, 3), {c: 2 for c in CHANNELS}
+_BAND_SIZE = "CASE s.band WHEN 0 THEN 3 WHEN 1 THEN 4 WHEN 2 THEN 5 ELSE 3 END"
+
+
+def _dispatch_ops(spark, sf_dir):
+    v = validated(traces.submissions(spark, sf_dir)).join(traces.events(spark, sf_dir).select("seq", F.col("user_id").alias("u")), "seq")
+    kind = F.floor(F.col("seq") / 7) % 5
+    op = F.when(F.col("seq") % 701 == 700, "CLOSE").when(kind.isin(0, 1), "ENQ").when(kind.isin(2, 4), "DEQ").otherwise("TAKE")
+    return v.select((F.col("u") % 16).alias("queue"), "t", "seq", op.alias("op"), request_id(F.col("seq")).alias("id"), "band", "channel")
+
+
+@_query(f"""WITH RECURSIVE {VALID}, dop AS (SELECT e.user_id % 16 AS queue, v.t, v.seq, CASE WHEN v.seq % 701 = 700 THEN 'CLOSE' WHEN v.seq // 7 % 5 IN (0, 1) THEN 'ENQ' WHEN v.seq // 7 % 5 IN (2, 4) THEN 'DEQ' ELSE 'TAKE' END AS op,
+  v.id, v.band, v.channel FROM val v JOIN events e ON e.event_id = v.seq),
+srt AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY t, seq) AS rn FROM dop),
+rec AS (SELECT queue, 0::BIGINT AS rn, []::STRUCT(band INT, n BIGINT, id VARCHAR, channel VARCHAR)[] AS q, []::STRUCT(n BIGINT, id VARCHAR, channel VARCHAR)[] AS j, false AS closed,
+    NULL::BIGINT AS seq, NULL::VARCHAR AS outcome, NULL::VARCHAR AS moved, 0::BIGINT AS depth FROM (SELECT DISTINCT queue FROM srt)
+  UNION ALL
+  SELECT queue, rn, q2, CASE WHEN outcome = 'submitted' THEN list_append(j, {{'n': rn, 'id': front.id, 'channel': front.channel}}) WHEN outcome = 'taken' THEN list_filter(j, lambda x: x.n <> job.n) ELSE j END,
+    closed OR op = 'CLOSE', seq, outcome, CASE WHEN op = 'DEQ' THEN front.id WHEN outcome = 'taken' THEN job.id END, len(q2)::BIGINT
+  FROM (SELECT *, CASE outcome WHEN 'queued' THEN list_append(q, {{'band': band, 'n': rn, 'id': id, 'channel': channel}}) WHEN 'requeued' THEN list_append(list_filter(q, lambda x: x.n <> front.n), {{'band': front.band, 'n': rn, 'id': front.id, 'channel': front.channel}})
+      WHEN 'submitted' THEN list_filter(q, lambda x: x.n <> front.n) WHEN 'no_pool' THEN list_filter(q, lambda x: x.n <> front.n) WHEN 'dropped' THEN list_filter(q, lambda x: x.n <> front.n) ELSE q END AS q2
+    FROM (SELECT *, CASE op WHEN 'CLOSE' THEN 'closed' WHEN 'TAKE' THEN CASE WHEN job IS NULL THEN 'idle' ELSE 'taken' END
+        WHEN 'ENQ' THEN CASE WHEN closed THEN 'shutting_down' WHEN held >= size THEN 'queue_full' ELSE 'queued' END
+        ELSE CASE WHEN front IS NULL THEN 'empty' WHEN front.channel = 'fax' THEN 'no_pool' WHEN len(list_filter(j, lambda x: x.channel = front.channel)) < 2 THEN 'submitted' WHEN closed THEN 'dropped' ELSE 'requeued' END END AS outcome
+      FROM (SELECT s.*, r.q, r.j, r.closed, list_sort(r.q)[1] AS front, list_filter(r.j, lambda x: x.channel = s.channel)[1] AS job, len(list_filter(r.q, lambda x: x.band = s.band)) AS held, {_BAND_SIZE} AS size
+        FROM rec r JOIN srt s ON s.queue = r.queue AND s.rn = r.rn + 1))))
+SELECT seq, queue, outcome, moved, depth FROM rec WHERE rn > 0""")
+def dispatch_replay(spark, sf_dir):
+    out = dispatch.replay(_dispatch_ops(spark, sf_dir), _DISPATCH_BANDS, _DISPATCH_POOLS)
+    return out.select("seq", "queue", "outcome", "moved", "depth")
+
+
+@_query(f"""WITH {VALID}, x AS (SELECT *, seq % 6 AS tried, CASE WHEN channel = 'inapp' AND user_id = '' THEN 'user_id required' WHEN channel IN ('email', 'sms', 'push') AND "to" = '' THEN 'recipient required'
+  WHEN channel = 'webhook' AND octet_length(encode("to")) % 2 = 0 THEN 'webhook returned status 502' END AS error FROM val WHERE channel <> 'fax')
+SELECT id, channel, CASE WHEN error IS NULL THEN 'delivered' ELSE 'retrying' END AS status, tried + (error IS NOT NULL)::INT AS attempts, coalesce(error, '') AS last_error, error IS NOT NULL AND tried + 1 < 5 AS retry FROM x""")
+def deliver_batch(spark, sf_dir):
+    s = traces.submissions(spark, sf_dir).withColumns({"id": request_id(F.col("seq")), "attempts": (F.col("seq") % 6).cast("int")})
+    hook = sinks.WebhookProvider(lambda url, body: F.when(F.octet_length(url) % 2 == 0, 502).otherwise(200))
+    return sinks.deliver(s, [hook, *map(sinks.LogProvider, ("email", "sms", "push", "inapp"))], RETRY)
+
+
 @_query(f"WITH {VALID} SELECT seq, invalid_reason, band FROM val")
 def submit_validate(spark, sf_dir):
     return validated(traces.submissions(spark, sf_dir)).select("seq", "invalid_reason", "band")

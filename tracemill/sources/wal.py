@@ -4,8 +4,11 @@ A record is ``length, op, key length, key, value length, value, expiry, checksum
 little-endian; the length counts all after itself.  Reading stops silently at the
 first bad record of a file, so what was appended behind one is never seen.
 
-A log's files are read through Spark's own binary reader, one task a file, so any
-store that Spark reads will do.
+A log is a folder of files.  They are read through Spark's own binary reader, one task a
+file, and written through its text writer, so any store that Spark reaches will do.  The
+text writer ends each row with a separator; rows are cut where the stream of frames holds
+that very byte, so only the one at the end of a file is added, which readers take for a
+torn record.  Each write is a folder of its own, numbered, and its files are in order.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tracemill.config import MAX_KEY_BYTES, CacheConfig
 from tracemill.functions.fold import sorted_fold
+from tracemill.functions.rank import global_position
 from tracemill.operators.cache import CacheShard
 from tracemill.operators.ring import shard_of
 
@@ -93,8 +97,10 @@ def _batches(files: Iterator[tuple[str, bytes]], size: int = 10_000) -> Iterator
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """``path, seq, op, key, value, expires_ns`` of the log files at ``path``."""
-    return decode_files(spark.read.format("binaryFile").load(path).select("path", "content"))
+    """``path, seq, op, key, value, expires_ns`` of the log files at ``path`` (a file, or a
+    folder with all that is in it)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return decode_files(files.select("path", "content"))
 
 
 def decode_files(files: DataFrame) -> DataFrame:
@@ -108,15 +114,17 @@ def decode_files(files: DataFrame) -> DataFrame:
 
 
 def encode_rows(records: DataFrame, order: str = "seq") -> DataFrame:
-    """``seq, frame binary`` of rows ``seq, op, key, value, expires_ns``, in expressions."""
+    """``seq, frame binary, outcome`` of rows ``seq, op, key, value, expires_ns``, in
+    expressions.  A key too long for a record gives no frame and the outcome ``invalid_key``."""
     le = lambda col, n: F.unhex(F.concat(*[F.substring(F.lpad(F.hex(col), 2 * n, "0"), 2 * i + 1, 2) for i in reversed(range(n))]))
     key = F.col("key").cast("binary")
     value = F.coalesce(F.col("value"), F.unhex(F.lit("")))
     expires = F.coalesce(F.col("expires_ns"), F.lit(ZERO_TIME_NS)).cast("long")
     ok = F.octet_length(key) <= MAX_KEY_BYTES
     payload = F.concat(le(F.col("op").cast("long"), 1), le(F.octet_length(key).cast("long"), 2), key, le(F.octet_length(value).cast("long"), 4), value, le(expires, 8))
-    out = records.select(order, F.when(ok, payload).otherwise(F.raise_error(F.lit("key too long for a record"))).alias("_p"))
-    return out.select(order, F.concat(le((F.octet_length("_p") + 4).cast("long"), 4), F.col("_p"), le(F.crc32("_p"), 4)).alias("frame"))
+    out = records.select(order, F.when(ok, payload).alias("_p"))
+    frame = F.concat(le((F.octet_length("_p") + 4).cast("long"), 4), F.col("_p"), le(F.crc32("_p"), 4))
+    return out.select(order, frame.alias("frame"), F.when(F.col("_p").isNull(), "invalid_key").otherwise("logged").alias("outcome"))
 
 
 def good_prefix(records: DataFrame, bad: str = "bad") -> DataFrame:
@@ -162,26 +170,60 @@ def recover_bounded(records: DataFrame, config: CacheConfig, as_of_ns: int) -> D
     return sorted_fold(slim, ["shard"], ["seq"], ["op", "key", "size"], lambda _: _Replayer(policy, capacity), "evicted string, d_entries long, d_memory long")
 
 
-def write_log(records: DataFrame, path: str) -> None:
-    """Write rows ``seq, op, key, value, expires_ns`` as log files, one a partition.
+_SEPARATOR = b"\x00"
 
-    Frames are written as one binary column a file would hold; :func:`read_frames` reads them."""
-    encode_rows(records).write.parquet(path)
 
+def _rows_of(frames: Iterator[bytes], size: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of the frames, cut at separators, which the writer puts back."""
+    held = bytearray()
+    for frame in frames:
+        held += frame
+        if len(held) > size and (cut := held.rfind(_SEPARATOR)) >= 0:
+            yield bytes(held[:cut])
+            del held[: cut + 1]
+    if held:
+        yield bytes(held)
 
-def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """Records of frames that :func:`write_log` wrote."""
-    frames = spark.read.parquet(path)
+
+def write_log(records: DataFrame, path: str, append: bool = True) -> None:
+    """Write rows ``seq, op, key, value, expires_ns`` as log files in the order of ``seq``,
+    behind what the log at ``path`` holds (``append=False``: instead of it).
+
+    Rows are dealt out by ranges of ``seq``, one file each; rows whose key is too long for
+    a record are left out, as :func:`encode_rows` tells."""
+    spark = records.sparkSession
+    if not append:
+        truncate_log(spark, path)
+    frames = encode_rows(records).filter("frame is not null").repartitionByRange("seq").sortWithinPartitions("seq").select("frame")
 
     def run(batches):
-        for batch in batches:
-            rows = []
-            for seq, frame in zip(batch.column("seq").to_pylist(), batch.column("frame").to_pylist(), strict=True):
-                r = next(decode(frame), None)
-                rows.append((seq, *(r or (None, None, None, None)), r is None))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = (pa.int64(), pa.int8(), pa.string(), pa.binary(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["seq", "op", "key", "value", "expires_ns", "bad"])
-
-    out = frames.mapInArrow(run, "seq long, op tinyint, key string, value binary, expires_ns long, bad boolean")
-    return good_prefix(out.withColumn("path", F.lit(path))).drop("path", "bad")
+        for row in _rows_of(x.as_py() for batch in batches for x in batch.column(0)):
+            yield pa.RecordBatch.from_arrays([pa.array([row], pa.binary())], ["value"])
+
+    lines = frames.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+    lines.write.option("lineSep", _SEPARATOR.decode()).text(f"{path}/{_next(spark, path):06d}")
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _next(spark: SparkSession, path: str) -> int:
+    """The number of the next write to a log."""
+    at, fs = _folder(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    return max((int(n) for n in names if n.isdigit()), default=-1) + 1
+
+
+def truncate_log(spark: SparkSession, path: str) -> None:
+    """Leave an empty log at ``path``."""
+    at, fs = _folder(spark, path)
+    fs.delete(at, True)
+    fs.mkdirs(at)
+
+
+def in_order(records: DataFrame) -> DataFrame:
+    """Records of a log's files with ``seq`` counted through the whole log."""
+    out = global_position(records, [F.col("path")], [F.col("seq")], "_at")
+    return out.withColumn("seq", F.col("_at") - 1).drop("_at")
