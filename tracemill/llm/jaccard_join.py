@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import batch_rows, materialize, text_bytes
+from tracemill.llm.common import batch_rows, discard, materialize, text_bytes
 
 #: Cells of the count sketch, bits of membership filters, hash ranges of the suffix filter,
 #: each as a power of two.
@@ -231,6 +231,7 @@ def _across(rest: DataFrame, num: int, den: int) -> DataFrame:
     a = minor.join(sizes, ["s", "n1"]).filter("n <= most1").select("s", "n1", "n", "c1", "l1")
     b = rest.join(sizes, ["s", "n"]).filter("n1 <= most").select("s", "n1", "n", "c", "l")
     a, b = materialize(a, "minor-sizes"), materialize(b, "rest-sizes")
+    discard(largest, minor, sizes)
     return a.join(b, ["s", "n1", "n"]).filter("l1 <> l")
 
 
@@ -266,7 +267,9 @@ def _shared(prefix: DataFrame, num: int, den: int) -> DataFrame:
             yield batch.filter(pa.array(_among(shared.value, batch.column("s").to_numpy())))
 
     with batch_rows(prefix.sparkSession, 50_000):
-        return materialize(prefix.mapInArrow(run, prefix.schema).join(met, "s"), "shared")
+        out = materialize(prefix.mapInArrow(run, prefix.schema).join(met, "s"), "shared")
+    discard(met)
+    return out
 
 
 def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -290,7 +293,9 @@ class _Verifier:
         sets = self._sets(pairs)
         both = pairs.join(sets.toDF("x", "s1"), "x").join(sets.toDF("y", "s2"), "y")
         shared = F.size(F.array_intersect("s1", "s2")).cast("long")
-        return materialize(both.filter(shared * (num + den) >= (F.col("n1") + F.col("n2")) * num).select("x", "y"), "links")
+        out = materialize(both.filter(shared * (num + den) >= (F.col("n1") + F.col("n2")) * num).select("x", "y"), "links")
+        discard(pairs, sets)
+        return out
 
     def _sets(self, pairs: DataFrame) -> DataFrame:
         """``c, s``: the sets of (at least) the classes in ``pairs``, from their first
@@ -320,14 +325,17 @@ def components(links: DataFrame) -> DataFrame:
     """``c, label`` of every node of ``x, y``: the smallest node reachable."""
     edges = materialize(links.select(F.col("x").alias("u"), F.col("y").alias("v")).union(links.select("y", "x")).distinct(), "edges")
     labels = materialize(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")).select(F.col("u").alias("c"), "label"), "labels")
+    before = labels
     while True:
         near = edges.join(labels, F.col("v") == F.col("c")).groupBy("u").agg(F.min("label").alias("_near"))
         lower = labels.join(near, F.col("c") == F.col("u")).select("c", F.col("label").alias("_old"), F.least("label", "_near").alias("_to"))
         # pointer jump: to the label that the label's own node had
         target = labels.select(F.col("c").alias("_to"), F.col("label").alias("_up"))
         moved = materialize(lower.join(target, "_to").select("c", "_old", F.least("_to", "_up").alias("label")), "labels")
-        labels = moved.select("c", "label")
+        discard(before)
+        before, labels = moved, moved.select("c", "label")
         if moved.filter(F.col("_old") != F.col("label")).isEmpty():
+            discard(edges)
             return labels
 
 
@@ -350,8 +358,9 @@ def _find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     sketch = _sketch(first)
     reps = materialize(members.filter("n > 0").groupBy("c").agg(F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value("r").alias("r")), "classes")
 
-    prefix = materialize(_prefixes(texts, sketch, shingle, num, den), "prefixes")
-    prefix = _shared(prefix, num, den)
+    whole = materialize(_prefixes(texts, sketch, shingle, num, den), "prefixes")
+    prefix = _shared(whole, num, den)
+    discard(whole)
     verifier = _Verifier(texts, reps, shingle, num, den)
 
     # each member against the pivot of its shingle and length band: the member with the
@@ -364,14 +373,18 @@ def _find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     star = star.filter(_viable(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos"), num, den)).withColumn("pc", F.col("p.c"))
     tried = materialize(_pairs(star, "c", "pc"), "star-pairs")
     links = verifier.links(tried)
+    discard(pivots)
 
     # members of a shingle's group that lie in different components
     label = components(links).toDF("_c", "label")
     placed = prefix.join(label, F.col("c") == F.col("_c"), "left").select("s", "c", "n", "pos", F.coalesce("label", "c").alias("l"))
     placed = materialize(placed, "placed")
+    discard(prefix)
     split = materialize(placed.groupBy("s").agg(F.min("l").alias("_a"), F.max("l").alias("_b")).filter("_a < _b").select("s"), "split-keys")
     rest = materialize(placed.join(split, "s").withColumn("most", _most(F.col("n"), F.col("pos"), num, den)), "split")
+    discard(placed, split)
     cross = _across(rest, num, den)
+    discard(rest)
     left = _pairs(cross, "c1", "c").join(tried, ["x", "y"], "left_anti")
     more = verifier.links(materialize(left, "cross-pairs"))
     links = links.union(more)
