@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +25,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+_scopes: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written within it, but for the ones to be kept, are deleted at its end."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        discard(*_scopes.pop())
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage at a table that survives the loss of any executor, and
@@ -34,6 +49,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
+    if _scopes and not keep:
+        _scopes[-1].append(out)
     return out
 
 
