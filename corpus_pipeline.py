@@ -17,8 +17,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracemill.functions.tables import discard, materialize, scratch
 from tracemill.llm import decontaminate, jaccard_join, mixing, pii, toxicity
-from tracemill.llm.common import materialize, table
+from tracemill.llm.common import table
 
 
 def _few_texts_at_once(spark: SparkSession) -> None:
@@ -74,5 +75,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole of ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        with scratch():
+            after = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}", keep=True)
+        discard(docs)  # nothing reads the stage before any more
+        docs = after
     return docs
