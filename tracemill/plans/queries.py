@@ -20,8 +20,8 @@ from tracemill.streaming import sinks
 Query = Callable[[SparkSession, str], DataFrame]
 
 HOUR = 3_600_000_000
-#: 2024-01-15 and 2024-01-20, in microseconds.
-MID, LATE = 1_705_276_800_000_000, 1_705_708_800_000_000
+#: 2024-01-01, 2024-01-15 and 2024-01-20, in microseconds.
+START, MID, LATE = 1_704_067_200_000_000, 1_705_276_800_000_000, 1_705_708_800_000_000
 SMALL = {p: CacheConfig(max_entries=40, shard_count=4, virtual_nodes=32, eviction_policy=p, sweep=False) for p in ("lru", "lfu", "fifo")}
 USER_LIMIT, CHANNEL_LIMIT = RateLimit(0.00002, 2.0), RateLimit(0.0006, 5.0)
 DELIVERY = DeliveryConfig(dedup_seconds=21_600.0, user_limit=USER_LIMIT, channel_limit=CHANNEL_LIMIT, bands=(300, 800, 700, 400))
@@ -86,17 +86,19 @@ def _dedup_cte(name: str, source: str, key: str, ttl: int) -> str:
 {name} AS MATERIALIZED (SELECT seq, dup FROM {name}_r)"""
 
 
-def _replay_cte(policy: str) -> str:
-    """``rep (seq, shard, outcome, evicted, d_entries, d_memory, d_memory_true)`` of the small cache."""
-    c = SMALL[policy]
-    cap = c.shard_capacity
+def _replay_cte(c: CacheConfig, sweep_from: int | None = None) -> str:
+    """``rep (seq, shard, outcome, evicted, d_entries, d_memory, d_memory_true)`` of a cache.
+
+    Before an operation goes what expired by the last visit of the sweep to its shard."""
+    policy, cap = c.policy, c.shard_capacity
+    first, every = f"({sweep_from} + (shard + 1) * {cache.SECOND})", c.shard_count * cache.SECOND
+    visit = "NULL::BIGINT" if sweep_from is None else f"CASE WHEN t >= {first} THEN {first} + (t - {first}) // {every} * {every} END"
     freq0 = 1 if policy == "lfu" else 0
     freq = "e.freq + 1" if policy == "lfu" else "e.freq"
     touch = "e.touch" if policy == "fifo" else "rn"
     entry = "STRUCT(freq BIGINT, touch BIGINT, key VARCHAR, exp BIGINT, size BIGINT)"
-    full = f"s.op = 'SET' AND e IS NULL AND len(rest) >= {cap}"
     return f"""{OPS}, keys AS (SELECT DISTINCT key FROM ops), {_assign_cte('asg', 'keys', c.shard_count, c.virtual_nodes)},
-srt AS MATERIALIZED (SELECT o.*, a.shard, octet_length(encode(o.key)) + octet_length(encode(o.value)) + 128 AS mem,
+srt AS MATERIALIZED (SELECT o.*, a.shard, octet_length(encode(o.key)) + octet_length(encode(o.value)) + 128 AS mem, {visit} AS visit,
   row_number() OVER (PARTITION BY shard ORDER BY t, seq) AS rn FROM ops o JOIN asg a ON o.key = a.key),
 rec AS (SELECT shard, 0::BIGINT AS rn, []::{entry}[] AS st, NULL::BIGINT AS seq, NULL::VARCHAR AS outcome, NULL::VARCHAR AS evicted, 0::BIGINT AS d_entries, 0::BIGINT AS d_memory, 0::BIGINT AS d_memory_true
     FROM (SELECT DISTINCT shard FROM srt)
@@ -107,12 +109,14 @@ rec AS (SELECT shard, 0::BIGINT AS rn, []::{entry}[] AS st, NULL::BIGINT AS seq,
       ELSE rest END,
     seq, CASE op WHEN 'SET' THEN 'stored' WHEN 'GET' THEN CASE WHEN e IS NULL THEN 'miss' WHEN gone THEN 'expired' ELSE 'hit' END ELSE CASE WHEN e IS NULL THEN 'not_found' ELSE 'deleted' END END,
     CASE WHEN evict THEN rest_sorted[1].key END,
-    CASE op WHEN 'SET' THEN (e IS NULL)::BIGINT - evict::BIGINT WHEN 'GET' THEN -(e IS NOT NULL AND gone)::BIGINT ELSE -(e IS NOT NULL)::BIGINT END,
-    CASE op WHEN 'SET' THEN mem - CASE WHEN evict THEN rest_sorted[1].size ELSE 0 END WHEN 'GET' THEN CASE WHEN gone THEN -e.size ELSE 0 END ELSE -coalesce(e.size, 0) END,
-    CASE op WHEN 'SET' THEN mem - coalesce(e.size, 0) - CASE WHEN evict THEN rest_sorted[1].size ELSE 0 END WHEN 'GET' THEN CASE WHEN gone THEN -e.size ELSE 0 END ELSE -coalesce(e.size, 0) END
+    CASE op WHEN 'SET' THEN (e IS NULL)::BIGINT - evict::BIGINT WHEN 'GET' THEN -(e IS NOT NULL AND gone)::BIGINT ELSE -(e IS NOT NULL)::BIGINT END - n_swept,
+    CASE op WHEN 'SET' THEN mem - CASE WHEN evict THEN rest_sorted[1].size ELSE 0 END WHEN 'GET' THEN CASE WHEN gone THEN -e.size ELSE 0 END ELSE -coalesce(e.size, 0) END - b_swept,
+    CASE op WHEN 'SET' THEN mem - coalesce(e.size, 0) - CASE WHEN evict THEN rest_sorted[1].size ELSE 0 END WHEN 'GET' THEN CASE WHEN gone THEN -e.size ELSE 0 END ELSE -coalesce(e.size, 0) END - b_swept
   FROM (SELECT *, coalesce(e.exp < t, false) AS gone, list_sort(rest) AS rest_sorted, op = 'SET' AND e IS NULL AND len(rest) >= {cap} AS evict FROM (
-    SELECT s.*, list_filter(r.st, lambda x: x.key = s.key)[1] AS e, list_filter(r.st, lambda x: x.key <> s.key) AS rest
-    FROM rec r JOIN srt s ON s.shard = r.shard AND s.rn = r.rn + 1))),
+    SELECT k.*, list_filter(k.kept, lambda x: x.key = k.key)[1] AS e, list_filter(k.kept, lambda x: x.key <> k.key) AS rest,
+      len(k.swept) AS n_swept, coalesce(list_sum(list_transform(k.swept, lambda x: x.size)), 0)::BIGINT AS b_swept
+    FROM (SELECT s.*, list_filter(r.st, lambda x: coalesce(x.exp >= s.visit, true)) AS kept, list_filter(r.st, lambda x: coalesce(x.exp < s.visit, false)) AS swept
+      FROM rec r JOIN srt s ON s.shard = r.shard AND s.rn = r.rn + 1) k))),
 rep AS (SELECT * EXCLUDE (st, rn) FROM rec WHERE rn > 0)"""
 
 
@@ -184,34 +188,33 @@ def _replayed(spark, sf_dir, policy):
     return cache.replay(traces.cache_ops(spark, sf_dir), SMALL[policy]).select("seq", "shard", "outcome", "evicted")
 
 
-@_query(f"WITH RECURSIVE {_replay_cte('lru')} SELECT seq, shard, outcome, evicted FROM rep")
+@_query(f"WITH RECURSIVE {_replay_cte(SMALL['lru'])} SELECT seq, shard, outcome, evicted FROM rep")
 def cache_replay_lru(spark, sf_dir):
     return _replayed(spark, sf_dir, "lru")
 
 
-@_query(f"WITH RECURSIVE {_replay_cte('lfu')} SELECT seq, shard, outcome, evicted FROM rep")
+@_query(f"WITH RECURSIVE {_replay_cte(SMALL['lfu'])} SELECT seq, shard, outcome, evicted FROM rep")
 def cache_replay_lfu(spark, sf_dir):
     return _replayed(spark, sf_dir, "lfu")
 
 
-@_query(f"WITH RECURSIVE {_replay_cte('fifo')} SELECT seq, shard, outcome, evicted FROM rep")
+@_query(f"WITH RECURSIVE {_replay_cte(SMALL['fifo'])} SELECT seq, shard, outcome, evicted FROM rep")
 def cache_replay_fifo(spark, sf_dir):
     return _replayed(spark, sf_dir, "fifo")
 
 
-@_query(f"""WITH RECURSIVE {_replay_cte('lru')}, s AS (SELECT count(*) FILTER (outcome = 'hit') AS hits, count(*) FILTER (outcome IN ('miss', 'expired')) AS misses, count(evicted) AS evictions,
+@_query(f"""WITH RECURSIVE {_replay_cte(SMALL['lru'])}, s AS (SELECT count(*) FILTER (outcome = 'hit') AS hits, count(*) FILTER (outcome IN ('miss', 'expired')) AS misses, count(evicted) AS evictions,
   sum(d_entries)::BIGINT AS entries, sum(d_memory)::BIGINT AS memory_bytes, sum(d_memory_true)::BIGINT AS memory_bytes_true FROM rep)
 SELECT *, CASE WHEN hits + misses > 0 THEN hits / (hits + misses) ELSE 0.0 END AS hit_ratio FROM s""")
 def cache_stats(spark, sf_dir):
     return cache.stats(cache.replay(traces.cache_ops(spark, sf_dir), SMALL["lru"]))
 
 
-@_query()
+@_query(f"WITH RECURSIVE {_replay_cte(CacheConfig(), START)} SELECT seq, shard, outcome, evicted, d_entries, d_memory FROM rep")
 def cache_replay_sweep(spark, sf_dir):
-    """Default settings with the background sweep running; no SQL has timers."""
+    """Default settings with the background sweep running."""
     ops = traces.cache_ops(spark, sf_dir)
-    start = 1_704_067_200_000_000  # 2024-01-01
-    return cache.replay(ops, CacheConfig(), start).select("seq", "shard", "outcome", "evicted", "d_entries", "d_memory")
+    return cache.replay(ops, CacheConfig(), START).select("seq", "shard", "outcome", "evicted", "d_entries", "d_memory")
 
 
 @_query(f"""WITH {OPS}, st AS (SELECT key, arg_max(value, (t, seq)) AS value, max((t, seq)) AS l, arg_max(CASE WHEN ttl_ms > 0 THEN t + ttl_ms * 1000 ELSE -1 END, (t, seq)) AS x FROM ops WHERE op = 'SET' GROUP BY key)
@@ -282,7 +285,20 @@ def wal_corrupt(spark, sf_dir):
     return got.groupBy("path").agg(F.count("*").alias("n"), F.max("real").alias("last"))
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {OPS}, keys AS (SELECT DISTINCT key FROM ops), {_assign_cte('asg', 'keys', SMALL['lru'].shard_count, SMALL['lru'].virtual_nodes)},
+w AS (SELECT o.*, a.shard, octet_length(encode(o.key)) + CASE op WHEN 'SET' THEN octet_length(encode(o.value)) ELSE 0 END + 128 AS size FROM ops o JOIN asg a ON o.key = a.key
+  WHERE op = 'DELETE' OR (op = 'SET' AND (ttl_ms <= 0 OR t + ttl_ms * 1000 >= {LATE}))),
+srt AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY seq) AS rn FROM w),
+rec AS (SELECT shard, 0::BIGINT AS rn, []::STRUCT(key VARCHAR, size BIGINT)[] AS st, NULL::VARCHAR AS evicted, 0::BIGINT AS d_entries, 0::BIGINT AS d_memory FROM (SELECT DISTINCT shard FROM srt)
+  UNION ALL
+  SELECT shard, rn,
+    CASE WHEN op = 'DELETE' THEN list_filter(st, lambda x: x.key <> q.key) WHEN e IS NOT NULL THEN list_transform(st, lambda x: CASE WHEN x.key = q.key THEN {{'key': q.key, 'size': q.size::BIGINT}} ELSE x END)
+      ELSE list_append(CASE WHEN evict THEN st[2:] ELSE st END, {{'key': q.key, 'size': q.size::BIGINT}}) END,
+    CASE WHEN evict THEN st[1].key END, CASE op WHEN 'DELETE' THEN -(e IS NOT NULL)::BIGINT ELSE 1 - evict::BIGINT END,
+    CASE op WHEN 'DELETE' THEN -coalesce(e.size, 0) ELSE size - CASE WHEN evict THEN st[1].size ELSE 0 END END
+  FROM (SELECT *, op = 'SET' AND e IS NULL AND len(st) >= {SMALL['lru'].shard_capacity} AS evict
+    FROM (SELECT s.*, r.st, list_filter(r.st, lambda x: x.key = s.key)[1] AS e FROM rec r JOIN srt s ON s.shard = r.shard AND s.rn = r.rn + 1)) q)
+SELECT shard, count(evicted) AS evictions, sum(d_entries)::BIGINT AS entries, sum(d_memory)::BIGINT AS memory_bytes FROM rec WHERE rn > 0 GROUP BY shard""")
 def wal_recover_bounded(spark, sf_dir):
     out = wal.recover_bounded(_wal_records(spark, sf_dir), SMALL["lru"], LATE * 1000)
     return out.groupBy("shard").agg(F.count("evicted").alias("evictions"), F.sum("d_entries").alias("entries"), F.sum("d_memory").alias("memory_bytes"))
@@ -340,7 +356,7 @@ def write_responses(spark, sf_dir):
     return puts.select("seq", "status", "response").unionByName(gone.select("seq", "status", "response"))
 
 
-@_query(f"""WITH RECURSIVE {_replay_cte('lru')}, s AS (SELECT count(*) FILTER (outcome = 'hit') AS hits, count(*) FILTER (outcome IN ('miss', 'expired')) AS misses, count(evicted) AS evictions,
+@_query(f"""WITH RECURSIVE {_replay_cte(SMALL['lru'])}, s AS (SELECT count(*) FILTER (outcome = 'hit') AS hits, count(*) FILTER (outcome IN ('miss', 'expired')) AS misses, count(evicted) AS evictions,
   sum(d_entries)::BIGINT AS entries, sum(d_memory)::BIGINT AS memory_bytes FROM rep)
 SELECT 'cache' AS service, '{{"status":"ok","entries":' || entries || '}}' AS response FROM s
 UNION ALL SELECT 'queue', '{{"status":"ok","queue_depth":' || (SELECT sum(CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END)::BIGINT FROM events) || '}}'""")
