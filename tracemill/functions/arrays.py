@@ -23,9 +23,11 @@ def count_below(values: Sequence[int], x: Column, inclusive: bool) -> Column:
     table = constant(values)
     steps = [1 << i for i in range(max(1, n).bit_length() - 1, -1, -1)]
 
-    def step(at, s):
+    def step(x, at, s):
         v = F.get(table, at + s - 1)
         inside = v <= x if inclusive else v < x
         return F.when((at + s <= n) & F.coalesce(inside, F.lit(False)), at + s).otherwise(at)
 
-    return F.aggregate(constant(steps, "int"), F.lit(0), step)
+    # as an element, x is worked out once and not at each step
+    search = lambda e: F.aggregate(constant(steps, "int"), F.lit(0), lambda at, s: step(e, at, s))
+    return F.get(F.transform(F.array(x), search), F.lit(0))

@@ -116,7 +116,8 @@ def decode_files(files: DataFrame) -> DataFrame:
 def encode_rows(records: DataFrame, order: str = "seq") -> DataFrame:
     """``seq, frame binary, outcome`` of rows ``seq, op, key, value, expires_ns``, in
     expressions.  A key too long for a record gives no frame and the outcome ``invalid_key``."""
-    le = lambda col, n: F.unhex(F.concat(*[F.substring(F.lpad(F.hex(col), 2 * n, "0"), 2 * i + 1, 2) for i in reversed(range(n))]))
+    # each value is named once: its text would be repeated in the compiled code otherwise
+    le = lambda col, n: F.unhex(F.regexp_replace(F.reverse(F.lpad(F.hex(col), 2 * n, "0")), "(.)(.)", "$2$1"))
     key = F.col("key").cast("binary")
     value = F.coalesce(F.col("value"), F.unhex(F.lit("")))
     expires = F.coalesce(F.col("expires_ns"), F.lit(ZERO_TIME_NS)).cast("long")
