@@ -1,6 +1,6 @@
 import pytest
 
-from tracemill.config import CacheConfig
+from tracemill.config import CacheConfig, ProviderConfig
 from tracemill.operators import cache
 from tracemill.operators.cache import SECOND, CacheShard
 from tracemill.operators.ring import lookup, ring_point, ring_points
@@ -96,3 +96,5 @@ def test_config():
     c = CacheConfig.from_env({"CACHE_MAX_ENTRIES": "7", "CACHE_SHARD_COUNT": "x", "CACHE_WAL_ENABLED": "false"})
     assert (c.max_entries, c.shard_count, c.wal_enabled, c.shard_capacity) == (7, 64, False, 1)
     assert CacheConfig(eviction_policy="none").policy == "lru"
+    p = ProviderConfig.from_env({"SMTP_HOST": "mail", "SMS_FROM": "", "SMTP_PORT": "1"})
+    assert (p.smtp_host, p.sms_from, p.smtp_port, p.push_server_key) == ("mail", "+10000000000", 587, "")

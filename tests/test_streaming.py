@@ -1,6 +1,6 @@
 from tracemill.config import CacheConfig, RateLimit, RetryPolicy
 from tracemill.operators import admission, cache, delivery
-from tracemill.sources import traces
+from tracemill.sources import requests, traces
 from tracemill.streaming import stateful
 
 SF = "/root/testdata/sf0.001"
@@ -74,3 +74,13 @@ def test_retries_come_back_when_due(spark, tmp_path):
     schedule = {(r.id, r.attempt): r.delay_s for r in delivery.retry_schedule(spark.createDataFrame([(i, 3) for i, _, _ in rows], "id long, failures int"), policy).collect()}
     want = [(i, a, -(-(t + int(schedule[i, a] * 1e6)) // 1000)) for i, a, t in rows if a < 3]
     assert got == sorted(want, key=str)
+
+
+def test_bodies_come_as_a_stream(spark, tmp_path):
+    bodies = ['{"value":"aGk=","ttl_ms":5}', '{"value":5}', "null", '{"Value":"x"}', "{", None, '{"user_id":"u","channel":"sms","payload":{"to":"1","meta":{"a":null}}}']
+    df = spark.createDataFrame([(i, i, f"k{i}", b) for i, b in enumerate(bodies)], "seq long, t long, key string, body string")
+    puts = lambda rows: requests.put_requests(rows).select("seq", "key", "value", "ttl_ms", "error")
+    subs = lambda rows: requests.submissions(rows).selectExpr("seq", "user_id", "channel", "to", "to_json(meta) as meta", "error")
+    for name, read in (("puts", puts), ("subs", subs)):
+        got = drain(spark, read(in_batches(spark, df, tmp_path, name)), name, tmp_path)
+        assert got == sorted(map(tuple, read(df).collect()), key=str) and len(got) == len(bodies)

@@ -85,6 +85,29 @@ class PoolConfig:
     queue_size: int = 1000
 
 
+@dataclass(frozen=True)
+class ProviderConfig:
+    """What providers are reached by.  The log-only ones carry theirs without using it."""
+
+    listen_addr: str = ":8080"
+    smtp_host: str = "localhost"
+    smtp_port: int = 587
+    smtp_from: str = "noreply@example.com"
+    sms_api_key: str = ""
+    sms_from: str = "+10000000000"
+    push_server_key: str = ""
+    push_project_id: str = ""
+    webhook_timeout_s: float = 10.0
+
+    @classmethod
+    def from_env(cls, env: Mapping[str, str] | None = None) -> ProviderConfig:
+        """Settings from ``SMTP_HOST`` and so on; an empty one keeps its default.  Port and
+        timeout are not read from the environment."""
+        env = os.environ if env is None else env
+        names = ("listen_addr", "smtp_host", "smtp_from", "sms_api_key", "sms_from", "push_server_key", "push_project_id")
+        return cls(**{name: env[name.upper()] for name in names if env.get(name.upper())})
+
+
 @dataclass(frozen=True)
 class DeliveryConfig:
     dedup_seconds: float = 300.0
